@@ -7,14 +7,16 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Surrounding white space of any kind, byte-order marks included.
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f﻿]+|[\s\x1c-\x1f﻿]+$"
+#: White space of any kind, the separators of ASCII and the
+#: byte-order mark included.
+SPACE_POINTS = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+SPACE = "".join(map(chr, SPACE_POINTS))
 
 
 def id_key(value: Column) -> Column:
     """An identifier as it compares: without surrounding white space, in lower
     case; blank and null give null."""
-    key = F.lower(F.regexp_replace(value.cast("string"), EDGE_SPACE, ""))
+    key = F.lower(F.btrim(value.cast("string"), F.lit(SPACE)))
     return F.when(key != "", key)
 
 
