@@ -12,10 +12,11 @@ from millrace.operators.prefix import running_sum
 
 #: A component of at least this share of all records is placed singly; there
 #: can be no more than its inverse.
-SINGLE_SHARE = 1 / 2000
-#: Fixed value: the fractional part of the golden ratio.  Multiples of it,
-#: taken modulo 1, fill the unit interval evenly at any length.
-GOLDEN = 0.6180339887498949
+SINGLE_SHARE = 1 / 200
+#: The fractional part of the golden ratio, whose multiples modulo
+#: 1 fill the unit interval evenly at any length, and the inverse of the plastic
+#: ratio, which shifts the sequence from band to band.
+GOLDEN, PLASTIC = 0.6180339887498949, 0.7548776662466927
 
 
 def spanning_forest(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
@@ -66,8 +67,9 @@ def _contract(up: DataFrame) -> DataFrame:
 def deal(components: DataFrame, root: str, size: str, shares: Mapping[str, float], seed: str = "millrace") -> DataFrame:
     """components with column split.
 
-    Components of at least SINGLE_SHARE of all records (at most 2000) are
-    placed one by one, largest first, where most is wanting.  The others are
+    Components of at least SINGLE_SHARE of all records (at most 200) are placed
+    one by one, largest first: among the splits that still want so many, where
+    the largest part of the share is wanting, else where most is.  The others are
     stratified by size (bands of powers of two), ordered by a seeded hash
     within each band and dealt out in turn by their position, so every split
     gets its share of every size, up to the share still wanting after the large
@@ -82,7 +84,8 @@ def deal(components: DataFrame, root: str, size: str, shares: Mapping[str, float
     wanting = {s: p / whole * total for s, p in shares.items()}
     single: dict[str, str] = {}
     for r in components.filter(F.col(size) >= bound).orderBy(F.desc(size), root).collect():
-        best = max(wanting, key=lambda s: (wanting[s], s))
+        fits = [s for s in wanting if wanting[s] >= r[size]]
+        best = max(fits, key=lambda s: (wanting[s] / shares[s], shares[s], s)) if fits else max(wanting, key=lambda s: (wanting[s], s))
         wanting[best] -= r[size]
         single[r[root]] = best
     left = {s: max(w, 0.0) for s, w in wanting.items()}
@@ -92,7 +95,7 @@ def deal(components: DataFrame, root: str, size: str, shares: Mapping[str, float
     large = components.filter(F.col(size) >= bound).join(placed, root, "left")
     small = components.filter(F.col(size) < bound).withColumn("__band", F.floor(F.log2(F.col(size).cast("double"))))
     ranked = running_sum(small, ["__band"], F.sha2(F.concat_ws(":", F.lit(seed), F.col(root)), 256), F.lit(1.0), [root], "__at")
-    u = (F.col("__at") + F.lit(0.5)) * F.lit(GOLDEN)
+    u = (F.col("__at") + F.lit(0.5)) * F.lit(GOLDEN) + F.col("__band") * F.lit(PLASTIC)
     u = u - F.floor(u)
     split, edge = F.lit(None).cast("string"), 0.0
     bounds: list[tuple[float, str]] = []

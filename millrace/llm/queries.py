@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import id_key
 from millrace.llm.encode import encode_text
 from millrace.llm.entity_split import assign_splits, torn_groups
+from millrace.llm.layout import collapse_layout
+from millrace.llm.overlap import Overlaps
 from millrace.llm.sample import stable_sample
 from millrace.llm.topn import top_n
 from millrace.plans.tables import table
@@ -47,6 +49,33 @@ SELECT change_id FROM s6 WHERE l * 4294967296::HUGEINT + r < 3689348814741910323
 """
 
 
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    changes = _ids(spark, d, "changes", "change_id").select("change_id", "message")
+    edits = _ids(spark, d, "edits", "change_id").select("change_id", "op", "text")
+    return collapse_layout(changes, "change_id", "message", edits, "change_id", "op", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d).filter("change_id <> representative").select(F.col("representative").alias("change_id_a"), F.col("change_id").alias("change_id_b"))
+
+
+def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """One record per distinct change, with the number of its copies."""
+    return _copies(spark, d).filter("change_id = representative").select("change_id", "n_copies")
+
+
+_P4 = r"""
+WITH f AS (SELECT change_id, lower(op) AS op, replace(lower(regexp_replace(text, '[\p{P}\p{Z}\p{Cc}]+', '', 'g')), 'ß', 'ss') AS t FROM edits),
+e AS (SELECT change_id, list_sort(list(DISTINCT op || ':' || t)) AS e FROM f WHERE t <> '' GROUP BY 1),
+l AS (SELECT change_id, replace(lower(regexp_replace(unnest(string_split_regex(coalesce(message, ''), '[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')), '[\p{P}\p{Z}\p{Cc}]+', '', 'g')), 'ß', 'ss') AS t FROM changes),
+m AS (SELECT change_id, list_sort(list(DISTINCT t) FILTER (t <> '')) AS m FROM l GROUP BY 1),
+x AS (SELECT lower(trim(m.change_id)) AS change_id, coalesce(m::VARCHAR, '') AS m, coalesce(e::VARCHAR, '') AS e FROM m LEFT JOIN e USING (change_id)),
+g AS (SELECT change_id, min(change_id) OVER (PARTITION BY m, e) AS rep, count(*) OVER (PARTITION BY m, e) AS n FROM x)
+"""
+P4_FOUND_SQL = _P4 + "SELECT rep AS change_id_a, change_id AS change_id_b FROM g WHERE change_id <> rep"
+P4_COLLAPSED_SQL = _P4 + "SELECT change_id, n::BIGINT AS n_copies FROM g WHERE change_id = rep"
+
+
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     return _ids(spark, d, "internal_manifest", "id", "group_id").select("id", "group_id").distinct()
 
@@ -97,12 +126,46 @@ def p6_top(spark: SparkSession, d: str) -> DataFrame:
 P6_TOP_SQL = _P6 + "SELECT run_id, change_id, score, k AS rank FROM r WHERE k <= 10"
 
 
+def _overlaps(spark: SparkSession, d: str) -> Overlaps:
+    changes = _ids(spark, d, "changes", "change_id").select(F.col("change_id").alias("id"), F.col("message").alias("text"))
+    edits = _ids(spark, d, "edits", "change_id").select(F.col("change_id").alias("id"), "text")
+    return Overlaps(changes.unionByName(edits), upstream(spark, d).withColumnRenamed("change_id", "id"), "train", ("valid", "test"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).record_pairs().select(F.col("id_a").alias("change_id_a"), F.col("id_b").alias("change_id_b"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation changes per split and project: all, those that overlap with a
+    training change, and those whose content_hash stands there too."""
+    o = _overlaps(spark, d)
+    changes = _ids(spark, d, "changes", "change_id", "project_id", "content_hash").select(F.col("change_id").alias("id"), "project_id", F.regexp_extract("content_hash", "([0-9a-f]+)$", 1).alias("hash"))
+    changes = changes.withColumn("hash", F.when(F.col("hash") != "", F.col("hash")))
+    there = o.members.select("id", "split", "train").join(changes, "id")
+    train = there.filter("train").select("hash").filter("hash is not null").distinct().withColumn("exact", F.lit(True))
+    rows = there.filter("not train").join(train, "hash", "left").join(o.touched().withColumn("hit", F.lit(True)), ["id", "split"], "left")
+    count = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    return rows.groupBy("split", "project_id").agg(F.count(F.lit(1)).alias("n_changes"), count("hit").alias("n_overlapping"), count("exact").alias("n_same_hash"))
+
+
+_P7 = r"""
+WITH t AS (SELECT lower(trim(change_id)) AS id, replace(lower(coalesce(message, '')), 'ß', 'ss') AS x FROM changes UNION ALL SELECT lower(trim(change_id)), replace(lower(coalesce(text, '')), 'ß', 'ss') FROM edits),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(x, '[\p{L}\p{N}]+')) AS w FROM t),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
+s AS (SELECT DISTINCT lower(trim(change_id)) AS id, lower(trim(split)) AS split FROM splits WHERE lower(trim(split_version)) = 'upstream-provided'),
+p AS (SELECT a.id AS e, b.id AS t, count(*) AS k FROM w a JOIN s x ON x.id = a.id AND x.split IN ('valid', 'test') JOIN w b USING (w) JOIN s y ON y.id = b.id AND y.split = 'train' GROUP BY 1, 2)
+SELECT least(e, t) AS change_id_a, greatest(e, t) AS change_id_b FROM p JOIN n a ON a.id = e JOIN n b ON b.id = t WHERE e <> t AND k >= 0.8 * (a.n + b.n - k) - 1e-9
+"""
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_text(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 QUERIES = {
-    "p3_sample": p3_sample, "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_report": p5_report,
-    "p6_found": p6_found, "p6_top": p6_top, "p8_ids": p8_ids,
+    "p3_sample": p3_sample, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_report": p5_report,
+    "p6_found": p6_found, "p6_top": p6_top,
+    "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids,
 }
-ORACLES = {"p3_sample": _feistel_sql(), "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL}
+ORACLES = {"p3_sample": _feistel_sql(), "p4_found": P4_FOUND_SQL, "p4_collapsed": P4_COLLAPSED_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL, "p7_found": _P7}
