@@ -9,6 +9,8 @@ from millrace.functions.keys import id_key
 from millrace.llm.encode import encode_text
 from millrace.llm.entity_split import assign_splits, torn_groups
 from millrace.llm.layout import collapse_layout
+from millrace.llm.mix import Mix
+from millrace.llm.mojibake import restore_text
 from millrace.llm.overlap import Overlaps
 from millrace.llm.sample import stable_sample
 from millrace.llm.topn import top_n
@@ -163,9 +165,37 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_text(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
+def _mix(spark: SparkSession, d: str) -> Mix:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    sized = encode_text(documents.select("doc_id", "source", "text", F.col("text").alias("__whole")), "__whole", "tokens", count_only=True)
+    return Mix(sized, "doc_id", table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).selection
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report
+
+
+def _restored(spark: SparkSession, d: str) -> DataFrame:
+    return restore_text(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).filter("garbled").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with the text taken back as far as it can be."""
+    return _restored(spark, d).filter("garbled").select("doc_id", F.col("restored").alias("text"), (F.col("restored") != F.col("text")).alias("changed"))
+
+
 QUERIES = {
     "p3_sample": p3_sample, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_report": p5_report,
     "p6_found": p6_found, "p6_top": p6_top,
     "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids,
+    "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored,
 }
 ORACLES = {"p3_sample": _feistel_sql(), "p4_found": P4_FOUND_SQL, "p4_collapsed": P4_COLLAPSED_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL, "p7_found": _P7}
