@@ -22,15 +22,18 @@ def running_sum(df: DataFrame, by: Sequence[str], digest: Column, value: Column,
     tie columns are broken arbitrarily but consistently within one run only, so
     give a unique tie.  Grouping treats null as a level.
     """
-    d, s = fresh(df.columns, "__digest"), fresh(df.columns, "__slice")
-    v = fresh(df.columns, "__value")
+    taken = [*df.columns, name]
+    own = lambda c: fresh(taken, f"__{c}")
+    d, s, v, i, o = (own(c) for c in ("digest", "slice", "value", "inner", "offset"))
     work = df.withColumns({d: digest, v: F.coalesce(value.cast("double"), F.lit(0.0))}).withColumn(s, F.substring(d, 1, digits))
     keys = list(by)
-    slices = work.groupBy(*keys, s).agg(F.sum(v).alias("__sum"))
-    offset = F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    slices = slices.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(s).alias("__s"), offset.alias("__offset"))
-    on = F.col(s) == F.col("__s")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inner = F.coalesce(F.sum(v).over(Window.partitionBy(*keys, s).orderBy(d, *tie).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return work.withColumn("__inner", inner).join(slices, on).withColumn(name, F.col("__offset") + F.col("__inner")).select(*df.columns, name)
+    before = Window.partitionBy(*keys).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    slices = work.groupBy(*keys, s).agg(F.sum(v).alias(o)).withColumn(o, F.coalesce(F.sum(o).over(before), F.lit(0.0)))
+    named = {c: own(f"key{k}") for k, c in enumerate([*keys, s])}
+    slices = slices.select(*[F.col(c).alias(n) for c, n in named.items()], o)
+    on = F.lit(True)
+    for c, n in named.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    inner = Window.partitionBy(*keys, s).orderBy(d, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    summed = work.withColumn(i, F.coalesce(F.sum(v).over(inner), F.lit(0.0))).join(slices, on)
+    return summed.withColumn(name, F.col(o) + F.col(i)).select(*df.columns, name)

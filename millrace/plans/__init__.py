@@ -2,6 +2,6 @@
 
 
 def modules():
-    from millrace.plans import quality
+    from millrace.plans import metrics, quality
 
-    return [quality]
+    return [quality, metrics]
