@@ -2,6 +2,6 @@
 
 
 def modules():
-    from millrace.plans import metrics, quality
+    from millrace.plans import duplicates, metrics, quality
 
-    return [quality, metrics]
+    return [quality, metrics, duplicates]
