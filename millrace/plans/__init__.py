@@ -2,6 +2,6 @@
 
 
 def modules():
-    from millrace.plans import duplicates, metrics, quality
+    from millrace.plans import duplicates, evaluation, metrics, quality
 
-    return [quality, metrics, duplicates]
+    return [quality, metrics, duplicates, evaluation]
