@@ -27,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once, store it in the shared folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that
+    costs far more than moving the rows.  Only a table so small that its scan
+    gives fewer partitions than cores is moved; a large one stays as it is."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df.repartition(cores)
+    return df

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.durable import spread
 from millrace.functions.keys import salted_digest
 
 
@@ -39,17 +47,15 @@ def class_neighbours(queries: DataFrame, items: DataFrame, identity: str, vector
     return best.select("query", "label", "item", "similarity", "rank")
 
 
-def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """All n-grams of low to high characters, runs of white space as one space."""
-    t = F.regexp_replace(text, r"(?U)\s{2,}", " ")
-    none = F.array().cast("array<string>")
+def char_ngrams(text: str, low: int = 3, high: int = 5) -> Counter[str]:
+    """Counts of the n-grams of low to high characters, runs of white space
+    taken as one space."""
+    t = re.sub(r"\s{2,}", " ", text)
+    return Counter(t[k : k + n] for n in range(low, high + 1) for k in range(len(t) - n + 1))
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(t) - n + 1)
-        return F.when(F.length(t) >= n, F.transform(starts, lambda p: F.substring(t, p, F.lit(n)))).otherwise(none)
 
-    grams = [of(n) for n in range(low, high + 1)]
-    return F.concat(*grams)
+#: Terms that a task counts before it hands them on.
+HELD = 300_000
 
 
 def tfidf(df: DataFrame, identity: str, text: str, fit: Column | None = None, low: int = 3, high: int = 5, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
@@ -58,13 +64,53 @@ def tfidf(df: DataFrame, identity: str, text: str, fit: Column | None = None, lo
     Vocabulary and document frequencies come from the rows where fit holds
     (all, if not given): terms in at least min_df rows, of those the
     max_features with most occurrences, equal ones by term.  idf is
-    ln((1 + n) / (1 + df)) + 1.
+    ln((1 + n) / (1 + df)) + 1.  Null texts and texts shorter than low have no
+    terms.
+
+    Rows are counted over Arrow batches, where an n-gram costs a tenth of what
+    it costs as an array expression.  Only counts per term are shuffled; the
+    vocabulary, at most max_features terms, is then broadcast and each row is
+    weighed where it lies.
     """
     fit = F.lit(True) if fit is None else fit
-    terms = df.select(F.col(identity).alias("id"), fit.alias("fit"), F.explode(char_ngrams(F.col(text), low, high)).alias("term")).groupBy("id", "fit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count_if(fit).alias("n_fit"))
-    vocabulary = terms.filter("fit").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).filter(F.col("df") >= min_df).orderBy(F.desc("all"), "term").limit(max_features)
-    idf = vocabulary.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n_fit")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select(F.col("id").alias(identity), "term", (F.col("w") / F.col("norm")).alias("weight"))
+    spark = df.sparkSession
+    rows = df.select(F.col(identity).alias("id"), fit.alias("fit"), F.col(text).cast("string").alias("text"))
+    rows = spread(rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, rows_with = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(many)), pa.array([rows_with[t] for t in many], pa.int64()), pa.array(list(many.values()), pa.int64())], names=["term", "df", "all"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                grams = char_ngrams(t or "", low, high)
+                many.update(grams)
+                rows_with.update(grams.keys())
+                if len(many) > HELD:
+                    yield out()
+                    many.clear()
+                    rows_with.clear()
+        if many:
+            yield out()
+
+    counts = rows.filter("fit").select("text").mapInArrow(count, "term string, df bigint, all bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all"))
+    n = rows.filter("fit").count()
+    kept = counts.filter(F.col("df") >= min_df).orderBy(F.desc("all"), "term").limit(max_features).collect()
+    idf = spark.sparkContext.broadcast({r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in kept})
+    kind = T.StructType([T.StructField(identity, rows.schema["id"].dataType), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = idf.value
+        for b in batches:
+            at, terms, weights = [], [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                w = {g: c * known[g] for g, c in char_ngrams(t or "", low, high).items() if g in known}
+                norm = math.sqrt(math.fsum(x * x for x in w.values()))
+                at += [k] * len(w)
+                terms += w.keys()
+                weights += [x / norm for x in w.values()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], names=[identity, "term", "weight"])
+
+    return rows.select("id", "text").mapInArrow(weigh, kind)
