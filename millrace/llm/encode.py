@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.durable import spread
+
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 
@@ -259,7 +261,8 @@ def encode_text(df: DataFrame, text: str, ids: str = "ids", vocabulary: str = "b
     text are ordinary text.  Null and empty texts give an empty array (0).  A
     column already called like the result is replaced.  The vocabulary file is
     read on the driver and broadcast (under 1 MB, fixed), so executors need no
-    copy.  No shuffle takes place.
+    copy.  Rows are moved only
+    where a small table would leave cores idle.
     """
     spark = df.sparkSession
     with open(os.path.join(folder or TOKENIZERS, f"{vocabulary}.tiktoken"), "rb") as f:
@@ -286,5 +289,5 @@ def encode_text(df: DataFrame, text: str, ids: str = "ids", vocabulary: str = "b
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), got.cast(arrow_kind)], names=[*keep, ids])
                 start = end
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).cast("string").alias("__text"))).mapInArrow(run, schema)
 
