@@ -17,8 +17,9 @@ def is_finite(x: Column) -> Column:
 
 
 def sigmoid(z: Column) -> Column:
+    """1 / (1 + exp(-z)) without overflow; null and NaN give null."""
     bound = F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0))
-    return 1 / (1 + F.exp(-bound))
+    return F.when(z.isNotNull() & ~F.isnan(z), 1 / (1 + F.exp(-bound)))
 
 
 def softmax_first(a: Column, b: Column) -> Column:

@@ -38,7 +38,7 @@ def aggregate_scores(mapping: DataFrame, scores: DataFrame, unit: str, item: str
     """(unit, n_items, n_scored, max_score, mean_score, noisy_or) over the distinct
     pairs of the mapping; items without a score are counted, then left out."""
     pairs = mapping.select(unit, item).filter(F.col(unit).isNotNull() & F.col(item).isNotNull()).distinct()
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
+    s = F.when(F.col(score).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))))  # greatest and least skip nulls
     return pairs.join(scores, item, "left").groupBy(unit).agg(F.count(F.lit(1)).alias("n_items"), F.count(score).alias("n_scored"), F.max(s).alias("max_score"), F.avg(s).alias("mean_score"), noisy_or(s).alias("noisy_or"))
 
 

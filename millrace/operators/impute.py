@@ -136,8 +136,8 @@ def fill_numeric(df: DataFrame, fields: Sequence[NumericField], factors: Sequenc
             for key in keys:
                 guess = guess + F.col(f"{key}:{i}")
             guess = field.backward(guess)
+        guess = F.coalesce(F.nanvl(guess, F.lit(field.default)), F.lit(field.default))
         limit = F.greatest(F.least(guess, field.high), field.low)
-        limit = F.coalesce(limit, F.lit(field.default))
         missing = is_missing(field)
         at = next(j for j, c in enumerate(names) if c.lower() == field.name.lower())
         columns[at] = F.when(missing, limit).otherwise(F.col(field.name).cast("double")).alias(names[at])

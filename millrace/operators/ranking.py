@@ -154,6 +154,6 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, digits: int | Non
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < F.lit(float("inf")))
     rows = df.filter(fine(x) & fine(y)).select(*by, x, y)
     ranked = mid_ranks(mid_ranks(rows, by, x, "__rx"), by, y, "__ry")
-    rho = F.corr("__rx", "__ry")
+    rho = F.covar_pop("__rx", "__ry") / F.nullif(F.stddev_pop("__rx") * F.stddev_pop("__ry"), F.lit(0.0))  # corr fails on a constant side
     spread = (F.min("__rx") < F.max("__rx")) & (F.min("__ry") < F.max("__ry"))
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _round(F.when(spread, rho), digits).alias("rho"))

@@ -83,7 +83,7 @@ def deployment_scores(spark: SparkSession, d: str) -> DataFrame:
 
 UNITS = """
 mp AS (SELECT DISTINCT nullif(lower(regexp_replace(deployment_id, '^\\s+|\\s+$', '', 'g')), '') AS deployment_id, nullif(lower(regexp_replace(change_id, '^\\s+|\\s+$', '', 'g')), '') AS change_id FROM mapping),
-us AS (SELECT deployment_id, count(*) AS n_items, count(score) AS n_scored, max(greatest(0, least(1, score))) AS max_score, avg(greatest(0, least(1, score))) AS mean_score, 1 - product(1 - greatest(0, least(1, score))) AS noisy_or
+us AS (SELECT deployment_id, count(*) AS n_items, count(score) AS n_scored, max((CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS max_score, avg((CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS mean_score, 1 - product(1 - (CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS noisy_or
        FROM mp LEFT JOIN (SELECT * FROM x WHERE variant_id = 'b0-lr') USING (change_id) WHERE deployment_id IS NOT NULL AND change_id IS NOT NULL GROUP BY 1)
 """
 

@@ -89,3 +89,8 @@ def test_times_and_numbers(spark):
     assert math.isclose(one(spark, N.entropy_bits(F.col("a").cast("array<double>")), a=[2, 0, 2]), 1.0)
     assert N.evaluation_points(10, 3) == [4, 7, 10]
     assert one(spark, N.softmax_first(F.lit(-1000.0), F.lit(-1000.0)), a="x") == 0.5
+
+
+def test_sigmoid_keeps_gaps(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.0,), (9999.0,)], "z double")
+    assert [r["s"] for r in df.select(N.sigmoid(F.col("z")).alias("s")).collect()] == [None, None, 0.5, 1.0]
