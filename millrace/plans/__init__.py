@@ -2,6 +2,6 @@
 
 
 def modules():
-    from millrace.plans import duplicates, evaluation, metrics, quality
+    from millrace.plans import duplicates, evaluation, metrics, quality, selection
 
-    return [quality, metrics, duplicates, evaluation]
+    return [quality, metrics, duplicates, evaluation, selection]
