@@ -83,7 +83,8 @@ def bootstrap_ap(df: DataFrame, model: str, score: str, label: str, cluster: str
     per = _weighted_ap(w, [model, "replicate"])
     tail = (1 - level) / 2
     interval = per.filter("ap is not null").groupBy(model).agg(F.percentile("ap", F.lit(tail)).alias("low"), F.percentile("ap", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("n_used"))
-    return ap_auc(rows, [model], score, label, None).select(model, "ap").join(interval, model, "left")
+    own = ap_auc(rows, [model], score, label, None).select(model, "ap").join(interval, model, "left")
+    return own.select(model, *[F.round(c, 12).alias(c) for c in ("ap", "low", "high")], "n_used")  # sums in another order differ in the last digits
 
 
 def _weighted_ap(w: DataFrame, by: Sequence[str]) -> DataFrame:
