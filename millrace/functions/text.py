@@ -110,7 +110,12 @@ def normalize_patch(diff: Column) -> Column:
 def patch_key(diff: Column) -> Column:
     """A digest of the changed lines without white space; null without any."""
     body = F.filter(lines(diff), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)"))
-    bare = F.filter(F.transform(body, lambda x: F.regexp_replace(F.substring(x, 2, 1 << 30), r"(?U)\s+", "")), lambda x: x != "")
+    return content_key(F.transform(body, lambda x: F.substring(x, 2, 1 << 30)))
+
+
+def content_key(changed: Column) -> Column:
+    """A digest of an array of changed lines without white space; null if all are blank."""
+    bare = F.filter(F.transform(changed, lambda x: F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", "")), lambda x: x != "")
     return F.when(F.size(bare) > 0, F.sha2(F.array_join(bare, "\n"), 256))
 
 

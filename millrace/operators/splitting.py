@@ -92,10 +92,10 @@ def controlled_exclusions(keys: DataFrame, identity: str, split: str, exact: str
 def near_duplicate_leak(rows: DataFrame, split: str, key: str, label: str) -> DataFrame:
     """(split, n, n_matched, n_agree): evaluation records whose key stands in the
     training split, and those whose label is that of the training majority
-    (half to even)."""
-    build = rows.filter((F.col(split) == "train") & F.col(key).isNotNull()).groupBy(key).agg(F.bround(F.avg(label), 0).alias("__major"))
+    (half to even).  A null label matches as any other but never agrees."""
+    build = rows.filter((F.col(split) == "train") & F.col(key).isNotNull()).groupBy(key).agg(F.bround(F.avg(label), 0).alias("__major"), F.count(F.lit(1)).alias("__there"))
     probe = rows.filter(F.col(split) != "train").join(build, key, "left")
-    return probe.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count("__major").alias("n_matched"), F.count_if(F.col("__major") == F.col(label)).alias("n_agree"))
+    return probe.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count("__there").alias("n_matched"), F.count_if(F.col("__major") == F.col(label)).alias("n_agree"))
 
 
 def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.functions.keys import id_key
 from millrace.operators import contracts as C
 from millrace.operators import dedup as D
@@ -125,6 +126,20 @@ def leak_by_message(spark: SparkSession, d: str) -> DataFrame:
     return S.near_duplicate_leak(rows, "split", "key", "label")
 
 
+def leak_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation changes whose message or whose changed lines (without white
+    space) stand in the training split, labelled or not; a label counts for
+    n_agree alone.  A line delivered twice is one."""
+    key = id_key(F.col("change_id")).alias("change_id")
+    s = table(spark, d, "splits").filter(id_key(F.col("split_version")) == "upstream-provided").select(key, id_key(F.col("split")).alias("split")).distinct()
+    messages = table(spark, d, "changes").select(key, T.message_key(F.col("message")).alias("message"))
+    lines = table(spark, d, "edits").select(key, "line_order", "op", "text").distinct().groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("line_order", "op", "text"))).alias("e"))
+    contents = lines.select("change_id", T.content_key(F.transform("e", lambda x: x["text"])).alias("change"))
+    rows = s.join(messages, "change_id").join(contents, "change_id", "left").join(labels(spark, d), "change_id", "left")
+    kinds = [S.near_duplicate_leak(rows.select("split", "label", k), "split", k, "label").select(F.lit(k).alias("kind"), "split", "n", "n_matched", "n_agree") for k in ("change", "message")]
+    return kinds[0].unionByName(kinds[1])
+
+
 def nested_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = _keys(spark, d).select("change_id", "split")
     half, quarter = S.nested_fraction(F.col("change_id"), "s", 0.5), S.nested_fraction(F.col("change_id"), "s", 0.25)
@@ -168,7 +183,7 @@ def contract_violations(spark: SparkSession, d: str) -> DataFrame:
 _K = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 QUERIES = {
     "line_aggregate": line_aggregate, "dup_groups": dup_groups, "cross_split_pairs": cross_split_pairs, "dup_components": dup_components, "content_counts": content_counts, "column_profile": column_profile,
-    "split_counts": split_counts, "split_label_counts": split_label_counts, "split_time": split_time, "temporal_split": temporal_split, "temporal_split_reasons": temporal_split_reasons, "controlled_exclusions": exclusions, "near_dup_leak": leak_by_message,
+    "split_counts": split_counts, "split_label_counts": split_label_counts, "split_time": split_time, "temporal_split": temporal_split, "temporal_split_reasons": temporal_split_reasons, "controlled_exclusions": exclusions, "near_dup_leak": leak_by_message, "near_dup_leak_all": leak_of_all,
     "nested_fraction": nested_sample, "hash_topn": hash_topn, "quota_rows": quota_rows, "quota_groups": quota_groups, "token_budget": budget_cut, "contract_violations": contract_violations,
 }
 ORACLES = {
@@ -196,6 +211,15 @@ ORACLES = {
         WHERE split = 'train' AND (exact_key IN (SELECT exact_key FROM k WHERE split <> 'train') OR code_key IN (SELECT code_key FROM k WHERE split <> 'train' AND code_key IS NOT NULL))""",
     "near_dup_leak": "WITH " + KEYS + r""", m AS (SELECT split, label, trim(regexp_replace(lower(message), '\s+', ' ', 'g')) AS t FROM k WHERE label IS NOT NULL), n AS (SELECT split, label, CASE WHEN length(t) >= 20 THEN t END AS t FROM m),
         b AS (SELECT t, round_even(avg(label), 0) AS y FROM n WHERE split = 'train' AND t IS NOT NULL GROUP BY 1) SELECT split, count(*) AS n, count(y) AS n_matched, count(*) FILTER (y = label) AS n_agree FROM n LEFT JOIN b USING (t) WHERE split <> 'train' GROUP BY 1""",
+    "near_dup_leak_all": r"""WITH sp AS (SELECT DISTINCT lower(trim(change_id)) AS change_id, lower(trim(split)) AS split FROM splits WHERE lower(trim(split_version)) = 'upstream-provided'),
+        l AS (SELECT lower(trim(id)) AS change_id, max(label) AS label FROM internal_manifest GROUP BY 1),
+        m AS (SELECT lower(trim(change_id)) AS change_id, trim(regexp_replace(lower(message), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS t FROM changes),
+        e AS (SELECT DISTINCT lower(trim(change_id)) AS change_id, line_order, op, text, regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') AS t FROM edits),
+        b AS (SELECT change_id, string_agg(t, chr(10) ORDER BY line_order, op, text) AS t FROM e WHERE t <> '' GROUP BY 1),
+        u AS (SELECT 'message' AS kind, change_id, CASE WHEN length(t) >= 20 THEN t END AS t FROM m UNION ALL SELECT 'change', m.change_id, b.t FROM m LEFT JOIN b USING (change_id)),
+        n AS (SELECT u.*, split, label FROM u JOIN sp USING (change_id) LEFT JOIN l USING (change_id)),
+        g AS (SELECT kind, t, round_even(avg(label), 0) AS y, true AS there FROM n WHERE split = 'train' AND t IS NOT NULL GROUP BY 1, 2)
+        SELECT kind, split, count(*) AS n, count(there) AS n_matched, count(*) FILTER (y = label) AS n_agree FROM n LEFT JOIN g USING (kind, t) WHERE split <> 'train' GROUP BY 1, 2""",
     "nested_fraction": "WITH " + KEYS + """, u AS (SELECT change_id, split, ('0x' || substr(sha256('s:' || change_id), 1, 15))::BIGINT::DOUBLE / pow(16, 15) AS u FROM k) SELECT change_id, split <> 'train' OR u < 0.5 AS in_half, split <> 'train' OR u < 0.25 AS in_quarter FROM u""",
     "hash_topn": "SELECT change_id, project_id FROM changes ORDER BY sha256('pick:' || change_id) LIMIT 50",
     "quota_rows": "SELECT change_id, row_number() OVER (ORDER BY sha256('dev:' || change_id)) <= round_even((SELECT count(*) FROM changes) * 0.05::DOUBLE, 0) AS chosen FROM changes",

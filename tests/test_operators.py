@@ -59,6 +59,24 @@ def test_exclusions_and_leak(spark):
     assert leak == {"test": (1, 0, 0), "valid": (1, 1, 0)}
 
 
+def test_leak_without_labels(spark):
+    k = spark.createDataFrame([("train", "x", None), ("train", "y", 1), ("train", "y", None), ("test", "x", 1), ("test", "y", None), ("test", "y", 1), ("test", "z", 1), ("test", None, None)], "split string, code string, y int")
+    assert [tuple(r) for r in S.near_duplicate_leak(k, "split", "code", "y").collect()] == [("test", 5, 3, 1)]
+
+
+def test_leak_of_all(spark, tmp_path):
+    from millrace.plans.duplicates import leak_of_all
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("splits", [("a", "train", "upstream-provided"), (" B", "Test ", "upstream-provided"), ("c", "test", "upstream-provided"), ("d", "test", "upstream-provided")], "change_id string, split string, split_version string")
+    put("changes", [("a", "the same message of a change"), ("b", "The same  message of a change"), ("c", "short"), ("d", None)], "change_id string, message string")
+    put("edits", [("a", 1, "add", "x = 1"), ("a", 2, "add", "y"), ("c", 2, "add", "y"), ("c", 1, "add", " x=1"), ("c", 1, "add", " x=1"), ("d", 1, "add", " ")], "change_id string, line_order int, op string, text string")
+    put("internal_manifest", [("d", 1)], "id string, label int")
+    assert sorted(tuple(r) for r in leak_of_all(spark, str(tmp_path)).collect()) == [("change", "test", 3, 1, 0), ("message", "test", 3, 1, 0)]
+
+
 def test_history_of_four_commits(spark):
     base, day = 1_600_000_000, 86_400
     commits = spark.createDataFrame([("1", 1, "ann", base), ("2", 2, "bob", base + 2 * day), ("4", 4, "ann", base + 4 * day)], "commit string, seq long, dev string, at long")
