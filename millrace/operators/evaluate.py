@@ -34,12 +34,19 @@ def noisy_or(score: Column) -> Column:
     return F.when(sure, 1.0).otherwise(1 - F.exp(F.sum(F.log1p(-F.when(score < 1, score)))))
 
 
-def aggregate_scores(mapping: DataFrame, scores: DataFrame, unit: str, item: str, score: str) -> DataFrame:
-    """(unit, n_items, n_scored, max_score, mean_score, noisy_or) over the distinct
-    pairs of the mapping; items without a score are counted, then left out."""
+def aggregate_scores(mapping: DataFrame, scores: DataFrame, unit: str, item: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., unit, n_items, n_scored, max_score, mean_score, noisy_or) over the
+    distinct pairs of the mapping; items without a score are counted, then left
+    out.  by: columns of scores, such as the model; every unit then has a row for
+    each of their values (not null, and few: they are broadcast)."""
     pairs = mapping.select(unit, item).filter(F.col(unit).isNotNull() & F.col(item).isNotNull()).distinct()
     s = F.when(F.col(score).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))))  # greatest and least skip nulls
-    return pairs.join(scores, item, "left").groupBy(unit).agg(F.count(F.lit(1)).alias("n_items"), F.count(score).alias("n_scored"), F.max(s).alias("max_score"), F.avg(s).alias("mean_score"), noisy_or(s).alias("noisy_or"))
+    aggregates = [F.count(score).alias("n_scored"), F.max(s).alias("max_score"), F.avg(s).alias("mean_score"), noisy_or(s).alias("noisy_or")]
+    if not by:
+        return pairs.join(scores, item, "left").groupBy(unit).agg(F.count(F.lit(1)).alias("n_items"), *aggregates)
+    units = pairs.groupBy(unit).agg(F.count(F.lit(1)).alias("n_items")).crossJoin(F.broadcast(scores.select(*by).distinct()))
+    got = pairs.join(scores, item).groupBy(*by, unit).agg(*aggregates)
+    return units.join(got, [*by, unit], "left").select(*by, unit, "n_items", F.coalesce("n_scored", F.lit(0)).alias("n_scored"), "max_score", "mean_score", "noisy_or")
 
 
 def best_of(df: DataFrame, by: Sequence[str], choice: str, value: str, order: str) -> DataFrame:

@@ -16,7 +16,7 @@ from millrace.operators import ranking as R
 from millrace.operators import retrieval as Q
 from millrace.operators import scaling as A
 from millrace.operators.history import history_features
-from millrace.plans.metrics import SCORED, labels, scored
+from millrace.plans.metrics import SCORED, labels, scored, scores
 from millrace.plans.tables import table
 
 PERIOD = ("2023-01-01", "2025-07-01")
@@ -77,28 +77,48 @@ def _unit_scores(spark: SparkSession, d: str) -> DataFrame:
     return E.aggregate_scores(m, s, "deployment_id", "change_id", "score")
 
 
+def _variant_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every variant and deployment; a change needs no label of its own."""
+    m = table(spark, d, "mapping").select(id_key(F.col("deployment_id")).alias("deployment_id"), id_key(F.col("change_id")).alias("change_id"))
+    return E.aggregate_scores(m, scores(spark, d), "deployment_id", "change_id", "score", ["variant_id"])
+
+
 def deployment_scores(spark: SparkSession, d: str) -> DataFrame:
     return _unit_scores(spark, d).select("deployment_id", "n_items", "n_scored", *[F.round(c, 10).alias(c) for c in ("max_score", "mean_score", "noisy_or")])
 
 
+def deployment_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    return _variant_scores(spark, d).select("variant_id", "deployment_id", "n_items", "n_scored", *[F.round(c, 10).alias(c) for c in ("max_score", "mean_score", "noisy_or")])
+
+
 UNITS = """
 mp AS (SELECT DISTINCT nullif(lower(regexp_replace(deployment_id, '^\\s+|\\s+$', '', 'g')), '') AS deployment_id, nullif(lower(regexp_replace(change_id, '^\\s+|\\s+$', '', 'g')), '') AS change_id FROM mapping),
 us AS (SELECT deployment_id, count(*) AS n_items, count(score) AS n_scored, max((CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS max_score, avg((CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS mean_score, 1 - product(1 - (CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS noisy_or
        FROM mp LEFT JOIN (SELECT * FROM x WHERE variant_id = 'b0-lr') USING (change_id) WHERE deployment_id IS NOT NULL AND change_id IS NOT NULL GROUP BY 1)
 """
 
+VARIANT_UNITS = """
+mp AS (SELECT DISTINCT nullif(lower(regexp_replace(deployment_id, '^\\s+|\\s+$', '', 'g')), '') AS deployment_id, nullif(lower(regexp_replace(change_id, '^\\s+|\\s+$', '', 'g')), '') AS change_id FROM mapping),
+us AS (SELECT variant_id, deployment_id, count(*) AS n_items, count(score) AS n_scored, max((CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS max_score, avg((CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS mean_score, 1 - product(1 - (CASE WHEN score IS NOT NULL THEN greatest(0, least(1, score)) END)) AS noisy_or
+       FROM mp CROSS JOIN (SELECT DISTINCT variant_id FROM s) LEFT JOIN s USING (variant_id, change_id) WHERE deployment_id IS NOT NULL AND change_id IS NOT NULL GROUP BY 1, 2)
+"""
+
 
-def _eligible(spark: SparkSession, d: str) -> DataFrame:
+def _eligible(spark: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
     ok = F.lit(True)
     for _, c in _steps():
         ok = ok & F.coalesce(c, F.lit(False))
-    return _deployments(spark, d).filter(ok).withColumn("deployment_id", id_key(F.col("deployment_id"))).join(_unit_scores(spark, d), "deployment_id")
+    return _deployments(spark, d).filter(ok).withColumn("deployment_id", id_key(F.col("deployment_id"))).join(_unit_scores(spark, d) if units is None else units, "deployment_id")
 
 
 def deployment_metrics(spark: SparkSession, d: str) -> DataFrame:
     return R.ap_auc(_eligible(spark, d).withColumn("y", F.col("label").cast("int")).filter("service is not null"), ["service"], "max_score", "y")
 
 
+def deployment_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.ap_auc(_eligible(spark, d, _variant_scores(spark, d)).withColumn("y", F.col("label").cast("int")).filter("service is not null"), ["variant_id", "service"], "max_score", "y")
+
+
 def deployment_months(spark: SparkSession, d: str) -> DataFrame:
     return _deployments(spark, d).groupBy(Z.month(F.col("deployed_at")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"))
 
@@ -107,6 +127,10 @@ def size_bias(spark: SparkSession, d: str) -> DataFrame:
     return R.spearman(_eligible(spark, d).withColumn("all", F.lit("eligible")), ["all"], "max_score", "n_items")
 
 
+def size_bias_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.spearman(_eligible(spark, d, _variant_scores(spark, d)), ["variant_id"], "max_score", "n_items")
+
+
 def success_subset(spark: SparkSession, d: str) -> DataFrame:
     return E.success_subset(table(spark, d, "predictions").withColumn("change_id", id_key(F.col("change_id"))), "change_id", "variant_id", _ok())
 
@@ -257,6 +281,7 @@ SELECT change_id, count(*) AS n_terms, round(max(w / n), 5) AS top, round(sum(w
 
 QUERIES = {
     "history_features": history, "eligibility_waterfall": waterfall, "deployment_scores": deployment_scores, "deployment_metrics": deployment_metrics, "deployment_months": deployment_months, "size_bias": size_bias,
+    "deployment_scores_all": deployment_scores_all, "deployment_metrics_all": deployment_metrics_all, "size_bias_all": size_bias_all,
     "success_subset": success_subset, "coverage_table": coverage_table, "common_metrics": common_metrics, "replicate_mean_sd": replicates, "best_seed": best_seed, "bootstrap_ap": bootstrap, "iso_week_clusters": iso_weeks,
     "scaler_params": scaler, "linear_score": linear, "logistic_score": logistic, "class_neighbours": neighbours, "tokenize_text": tokens, "clean_message": messages, "evidence_allocation": evidence, "char_tfidf": tfidf,
 }
@@ -276,6 +301,9 @@ ORACLES = {
     "deployment_metrics": f"WITH {SCORED}, {UNITS}, {ELIGIBLE}, z AS (SELECT service, label::INT AS label, max_score AS score FROM w JOIN us ON us.deployment_id = lower(trim(w.deployment_id)) WHERE a AND b AND c AND e AND service IS NOT NULL AND max_score IS NOT NULL), {_sums('service', 'z')} SELECT service, max(t)::BIGINT AS n, max(p)::BIGINT AS positives, {_AP} FROM c GROUP BY 1".replace("w AS (SELECT *,", "w AS (SELECT *,").replace(" AND c AND e AND service", " AND w.c AND e AND service"),
     "deployment_months": "SELECT strftime(deployed_at, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (label = 1) AS positives FROM (SELECT DISTINCT * FROM deployments) GROUP BY 1",
     "size_bias": f"WITH {SCORED}, {UNITS}, {ELIGIBLE}, z AS (SELECT max_score AS s, n_items AS k FROM w JOIN us ON us.deployment_id = lower(trim(w.deployment_id)) WHERE a AND b AND c AND e AND max_score IS NOT NULL), q AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0::DOUBLE AS b FROM z) SELECT 'eligible' AS \"all\", count(*) AS n, round(corr(a, b), 6) AS rho FROM q",
+    "deployment_scores_all": f"WITH {SCORED}, {VARIANT_UNITS} SELECT variant_id, deployment_id, n_items, n_scored, round(max_score, 10) AS max_score, round(mean_score, 10) AS mean_score, round(noisy_or, 10) AS noisy_or FROM us",
+    "deployment_metrics_all": f"WITH {SCORED}, {VARIANT_UNITS}, {ELIGIBLE}, z AS (SELECT variant_id, service, label::INT AS label, max_score AS score FROM w JOIN us ON us.deployment_id = lower(trim(w.deployment_id)) WHERE a AND b AND w.c AND e AND service IS NOT NULL AND max_score IS NOT NULL), {_sums('variant_id, service', 'z')} SELECT variant_id, service, max(t)::BIGINT AS n, max(p)::BIGINT AS positives, {_AP} FROM c GROUP BY 1, 2",
+    "size_bias_all": f"WITH {SCORED}, {VARIANT_UNITS}, {ELIGIBLE}, z AS (SELECT variant_id, max_score AS s, n_items AS k FROM w JOIN us ON us.deployment_id = lower(trim(w.deployment_id)) WHERE a AND b AND c AND e AND max_score IS NOT NULL), q AS (SELECT variant_id, rank() OVER (PARTITION BY variant_id ORDER BY s) + (count(*) OVER (PARTITION BY variant_id, s) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY variant_id ORDER BY k) + (count(*) OVER (PARTITION BY variant_id, k) - 1) / 2.0::DOUBLE AS b FROM z) SELECT variant_id, count(*) AS n, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS rho FROM q GROUP BY 1",
     "success_subset": f"WITH p AS (SELECT lower(trim(change_id)) AS change_id, variant_id, {OK} AS ok FROM predictions) SELECT change_id FROM p WHERE ok GROUP BY 1 HAVING count(DISTINCT variant_id) = (SELECT count(DISTINCT variant_id) FROM p)",
     "coverage_table": f"WITH {SCORED}, q AS (SELECT variant_id, lower(trim(p.change_id)) AS change_id, bool_or(coalesce({OK}, false)) AS ok FROM predictions p GROUP BY 1, 2), j AS (SELECT q.*, label FROM q JOIN l USING (change_id)) SELECT variant_id, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, (SELECT count(*) FROM l) - count(*) AS n_missing, ((SELECT sum(label) FROM l) - coalesce(sum(label) FILTER (ok), 0))::BIGINT AS positives_lost FROM j GROUP BY 1",
     "common_metrics": f"WITH {SCORED}, ok AS (SELECT change_id FROM s GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT variant_id) FROM predictions)), z AS (SELECT x.* FROM x JOIN ok USING (change_id)), {_sums('variant_id', 'z')} SELECT variant_id, max(t)::BIGINT AS n, max(p)::BIGINT AS positives, {_AP} FROM c GROUP BY 1",

@@ -129,6 +129,17 @@ def test_deployments_and_coverage(spark):
     assert {r["m"]: tuple(r)[1:] for r in E.coverage(p, "id", "m", F.col("st") == "ok", y, "y").collect()} == {"m": (1, 1, 1, 2), "n": (2, 0, 1, 1)}
 
 
+def test_deployments_of_every_variant(spark, small):
+    from millrace.plans.evaluation import deployment_scores_all
+
+    m = spark.createDataFrame([("d", "a"), ("d", "b"), ("d", "b"), ("e", "c")], "u string, i string")
+    s = spark.createDataFrame([("v", "a", 0.5), ("v", "b", 0.5), ("w", "c", 1.5)], "m string, i string, s double")
+    got = {(r["m"], r["u"]): tuple(r)[2:6] for r in E.aggregate_scores(m, s, "u", "i", "s", ["m"]).collect()}
+    assert got == {("v", "d"): (2, 2, 0.5, 0.5), ("v", "e"): (1, 0, None, None), ("w", "d"): (2, 0, None, None), ("w", "e"): (1, 1, 1.0, 1.0)}
+    ok = spark.read.parquet(f"{small}/predictions.parquet").filter("status = 'ok' and score is not null and not isnan(score) and abs(score) < double('inf')")
+    assert deployment_scores_all(spark, small).select("variant_id").distinct().count() == ok.select("variant_id").distinct().count() > 1
+
+
 def test_bootstrap(spark):
     rnd = random.Random(2)
     rows = [(m, f"c{k % 12}", int(rnd.random() < 0.3), rnd.random()) for m in ("a", "b") for k in range(240)]
