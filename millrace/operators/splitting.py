@@ -63,9 +63,11 @@ def temporal_split(df: DataFrame, identity: str, time: str, label_time: str, pat
     component, the first by (time, identity) with a patch keeps it, the others
     are rejected (duplicate_patch).  Rejected late records don't claim a patch.
     A null patch is no duplicate.  reason is null where the record is kept.
+    A record may have several rows that differ in their ties alone: it is tied
+    through each of them and dealt once.
     """
-    rows = df.withColumn("role", role_by_time(F.col(time), train_before, valid_before))
-    comp = components(rows, identity, [*ties, patch])
+    comp = components(df, identity, [*ties, patch])
+    rows = df.select(identity, time, label_time, patch).distinct().withColumn("role", role_by_time(F.col(time), train_before, valid_before))
     rows = rows.join(comp, identity)
     spread = rows.groupBy("component").agg((F.min("role") < F.max("role")).alias("crosses"))
     rows = rows.join(spread, "component")

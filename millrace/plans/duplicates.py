@@ -87,8 +87,11 @@ def split_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "internal_manifest").groupBy(id_key(F.col("id")).alias("change_id")).agg(F.min("prediction_at").alias("prediction_at"), F.max("label_available_at").alias("label_available_at"), F.min(id_key(F.col("group_id"))).alias("grp"))
-    return m.join(table(spark, d, "changes").select("change_id", F.col("content_hash").alias("patch")), "change_id")
+    """One row for each change and group it stands under."""
+    m = table(spark, d, "internal_manifest").select(id_key(F.col("id")).alias("change_id"), "prediction_at", "label_available_at", id_key(F.col("group_id")).alias("grp"))
+    one = m.groupBy("change_id").agg(F.min("prediction_at").alias("prediction_at"), F.max("label_available_at").alias("label_available_at"))
+    one = one.join(table(spark, d, "changes").select("change_id", F.col("content_hash").alias("patch")), "change_id")
+    return one.join(m.select("change_id", "grp").filter("grp is not null").distinct(), "change_id", "left")
 
 
 def temporal_split(spark: SparkSession, d: str) -> DataFrame:

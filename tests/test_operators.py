@@ -52,6 +52,17 @@ def test_temporal_split(spark):
     assert got == {"a": ("train", None), "b": ("train", "duplicate_patch"), "c": ("train", "label_late"), "d": ("train", None), "e": ("valid", "crosses_split"), "f": ("test", "crosses_split"), "h": ("test", None), "i": ("train", "label_late"), "j": ("valid", None)}
 
 
+def test_temporal_split_through_every_group(spark, tmp_path):
+    from millrace.plans.duplicates import temporal_split
+
+    rows = [("a", "2024-01-01", "g1"), (" A", "2024-01-01", " G2"), ("b", "2024-09-01", "g2"), ("c", "2024-01-02", None), ("c", "2024-01-02", None)]
+    m = spark.createDataFrame(rows, "id string, at string, group_id string").select("id", F.col("at").cast("timestamp").alias("prediction_at"), F.col("at").cast("timestamp").alias("label_available_at"), "group_id")
+    m.write.parquet(str(tmp_path / "internal_manifest.parquet"))
+    spark.createDataFrame([("a", "p1"), ("b", None), ("c", None)], "change_id string, content_hash string").write.parquet(str(tmp_path / "changes.parquet"))
+    got = sorted((r["change_id"], r["role"], r["reason"]) for r in temporal_split(spark, str(tmp_path)).collect())
+    assert got == [("a", "train", "crosses_split"), ("b", "valid", "crosses_split"), ("c", "train", None)]
+
+
 def test_exclusions_and_leak(spark):
     k = spark.createDataFrame([("a", "train", "x", "c1", 1), ("b", "train", "y", "c2", 0), ("c", "test", "x", "c9", 1), ("d", "valid", "z", "c2", 1), ("e", "train", "q", None, 0)], "id string, split string, exact string, code string, y int")
     assert {r["id"]: r["reason"] for r in S.controlled_exclusions(k, "id", "split", "exact", "code").collect()} == {"a": "exact_duplicate_in_eval", "b": "code_duplicate_in_eval"}
