@@ -71,14 +71,13 @@ def draw_clusters(clusters: Sequence[str], replicates: int, seed: int) -> list[t
 MOST_DRAWS = 5_000_000
 
 
-def bootstrap_ap(df: DataFrame, model: str, score: str, label: str, cluster: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """(model, ap, low, high, n_used): average precision and the percentile
-    interval over resampled clusters.
+def bootstrap_values(df: DataFrame, model: str, score: str, label: str, cluster: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """(model, replicate, ap): average precision in each replicate of resampled
+    clusters, null without positives.
 
     The rows are first summed up per model, cluster and score, and each
     replicate weighs these sums, so the data isn't repeated row by row.
-    Replicates without positives are left out and n_used tells how many were
-    used.  Models are resampled with the same draws.
+    Models are resampled with the same draws.
     """
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(cluster).isNotNull())
     names = [r[0] for r in rows.select(F.col(cluster).cast("string")).distinct().limit(MOST_DRAWS // replicates + 1).collect()]
@@ -87,7 +86,18 @@ def bootstrap_ap(df: DataFrame, model: str, score: str, label: str, cluster: str
     draws = df.sparkSession.createDataFrame(draw_clusters(names, replicates, seed), "replicate int, __c string, times long")
     sums = rows.groupBy(model, F.col(cluster).cast("string").alias("__c"), F.col(score).alias("__s")).agg(F.sum(F.col(label).cast("double")).alias("tp"), F.count(F.lit(1)).alias("n"))
     w = sums.join(draws, "__c").groupBy(model, "replicate", "__s").agg(F.sum(F.col("tp") * F.col("times")).alias("tp"), F.sum(F.col("n") * F.col("times")).cast("double").alias("n"))
-    per = _weighted_ap(w, [model, "replicate"])
+    return _weighted_ap(w, [model, "replicate"])
+
+
+def bootstrap_ap(df: DataFrame, model: str, score: str, label: str, cluster: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(model, ap, low, high, n_used): average precision and the percentile
+    interval over resampled clusters (bootstrap_values).
+
+    Replicates without positives are left out and n_used tells how many were
+    used.
+    """
+    rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(cluster).isNotNull())
+    per = bootstrap_values(rows, model, score, label, cluster, replicates, seed)
     tail = (1 - level) / 2
     interval = per.filter("ap is not null").groupBy(model).agg(F.percentile("ap", F.lit(tail)).alias("low"), F.percentile("ap", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("n_used"))
     own = ap_auc(rows, [model], score, label, None).select(model, "ap").join(interval, model, "left")
@@ -111,4 +121,4 @@ def paired_difference(per: DataFrame, base: str, model: str, replicate: str, val
     return diff.groupBy(model).agg(F.avg("__d").alias("mean_difference"), F.percentile("__d", F.lit(0.025)).alias("low"), F.percentile("__d", F.lit(0.975)).alias("high"), F.avg((F.col("__d") <= 0).cast("double")).alias("share_not_above"))
 
 
-__all__ = ["aggregate_scores", "best_of", "bootstrap_ap", "coverage", "draw_clusters", "noisy_or", "paired_difference", "score_table", "success_subset"]
+__all__ = ["aggregate_scores", "best_of", "bootstrap_ap", "bootstrap_values", "coverage", "draw_clusters", "noisy_or", "paired_difference", "score_table", "success_subset"]

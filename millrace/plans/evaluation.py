@@ -172,6 +172,15 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return E.bootstrap_ap(scored(spark, d), "variant_id", "score", "label", "project", 200, 7)
 
 
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Each variant's average precision against that of b0-lr, on the same draws
+    of projects and the changes that succeeded in every variant."""
+    per = E.bootstrap_values(scored(spark, d).join(success_subset(spark, d), "change_id", "left_semi"), "variant_id", "score", "label", "project", 200, 7)
+    per = per.withColumn("ap", F.round("ap", 12))  # sums in another order differ in the last digits
+    p = E.paired_difference(per, "b0-lr", "variant_id", "replicate", "ap")
+    return p.select("variant_id", *[F.round(c, 10).alias(c) for c in ("mean_difference", "low", "high", "share_not_above")])
+
+
 def iso_weeks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(Z.iso_week(F.col("ts")).alias("week"), Z.month(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
 
@@ -282,7 +291,7 @@ SELECT change_id, count(*) AS n_terms, round(max(w / n), 5) AS top, round(sum(w
 QUERIES = {
     "history_features": history, "eligibility_waterfall": waterfall, "deployment_scores": deployment_scores, "deployment_metrics": deployment_metrics, "deployment_months": deployment_months, "size_bias": size_bias,
     "deployment_scores_all": deployment_scores_all, "deployment_metrics_all": deployment_metrics_all, "size_bias_all": size_bias_all,
-    "success_subset": success_subset, "coverage_table": coverage_table, "common_metrics": common_metrics, "replicate_mean_sd": replicates, "best_seed": best_seed, "bootstrap_ap": bootstrap, "iso_week_clusters": iso_weeks,
+    "success_subset": success_subset, "coverage_table": coverage_table, "common_metrics": common_metrics, "replicate_mean_sd": replicates, "best_seed": best_seed, "bootstrap_ap": bootstrap, "bootstrap_paired": paired_bootstrap, "iso_week_clusters": iso_weeks,
     "scaler_params": scaler, "linear_score": linear, "logistic_score": logistic, "class_neighbours": neighbours, "tokenize_text": tokens, "clean_message": messages, "evidence_allocation": evidence, "char_tfidf": tfidf,
 }
 _AP = "round(sum(tp / nullif(p, 0) * ctp / cn), 6) AS ap, round(sum(tp * ((t - p) - (cn - ctp) + (n - tp) / 2) / nullif(p * (t - p), 0)), 6) AS auc"

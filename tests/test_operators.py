@@ -163,6 +163,18 @@ def test_bootstrap(spark):
     assert math.isclose(d["mean_difference"], 0.0, abs_tol=1e-12) and d["share_not_above"] == 0.5
 
 
+def test_paired_bootstrap_values(spark):
+    rows = [(m, f"c{k % 6}", k % 2, float(k % 2) if m == "a" else 0.5) for m in ("a", "b") for k in range(36)]
+    df = spark.createDataFrame(rows + [("a", "c6", 1, 0.9), ("b", "c6", 0, 0.9)], "m string, c string, y int, s double")
+    per = E.bootstrap_values(df, "m", "s", "y", "c", 30, 1)
+    by = {}
+    for r in per.collect():
+        by.setdefault(r["replicate"], {})[r["m"]] = r["ap"]
+    gaps = [v["a"] - v["b"] for v in by.values() if v["a"] is not None and v["b"] is not None]
+    d = E.paired_difference(per, "b", "m", "replicate", "ap").first()
+    assert math.isclose(d["mean_difference"], sum(gaps) / len(gaps)) and math.isclose(d["share_not_above"], sum(g <= 0 for g in gaps) / len(gaps))
+
+
 def test_retrieval(spark):
     items = spark.createDataFrame([(f"i{k}", [math.cos(k / 9), math.sin(k / 9)], k % 2) for k in range(30)], "id string, v array<double>, y int")
     got = Q.class_neighbours(items.filter("id = 'i3'"), items, "id", "v", "y", 2, "s").collect()
