@@ -10,7 +10,7 @@ from millrace.llm.encode import encode_text
 from millrace.llm.entity_split import assign_splits, torn_groups
 from millrace.llm.layout import collapse_layout
 from millrace.llm.mix import Mix
-from millrace.llm.mojibake import restore_text
+from millrace.llm.mojibake import find_garbled, restore_text
 from millrace.llm.overlap import Overlaps
 from millrace.llm.sample import stable_sample
 from millrace.llm.topn import top_n
@@ -184,7 +184,7 @@ def _restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _restored(spark, d).filter("garbled").select("doc_id").distinct()
+    return find_garbled(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.mojibake import SPOIL, readings, restore_text, spoil, to_bytes
+from millrace.llm.mojibake import SPOIL, Model, find_garbled, fit, readings, restore_text, spoil, to_bytes, train, word_table
 
 CLEAN = [
     "Die Größe des Puffers wird künftig überprüft, bevor die Übergabe beginnt.",
@@ -56,6 +57,64 @@ def test_found_and_restored(spark, texts):
     assert sum(got[k]["restored"] == want[k] for k in found) >= 0.9 * len(found)
 
 
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r[0] for r in find_garbled(df, "doc_id", "text").collect()}
+
+
+FRENCH = "Cette modification concerne l’étape suivante du déploiement."
+
+
+@pytest.mark.parametrize("encoding", ["cp1251", "mac_roman"])
+def test_one_garbled_copy_spoils_no_clean_word(spark, texts, encoding):
+    """A clean word that decodes as UTF-8 stands in one document of fifty, and a
+    single document has it in another encoding."""
+    clean, _, _ = texts
+    rows = {k: v + "\n" + FRENCH if k % 50 == 0 else v for k, v in clean.items()}
+    rows[-1] = FRENCH.encode("cp1252").decode(encoding)
+    assert found(spark, [*rows.items()]) == {-1}
+
+
+def test_false_finds_do_not_grow(spark, texts):
+    clean, bad, _ = texts
+    for copies in (1, 4):
+        rows = [(k + 100_000 * c, v) for c in range(copies) for k, v in clean.items()] + [*bad.items()]
+        got = found(spark, rows)
+        assert not {k % 100_000 for k in got} & set(clean)
+        assert len(got) >= 0.95 * len(bad)
+
+
+def test_held_out_half(spark, texts):
+    """The model of one half judges the other, whose words it may not know."""
+    clean, bad, _ = texts
+    rnd = random.Random(5)
+    half = [(k, v) for k, v in clean.items() if k % 2] + [(k, v) for k, v in bad.items() if k % 2]
+    half += [(20_000 + k, s) for k in range(5) for s in ("the user’s ‘own’ choice… at 2 × 4", "“see” «this» — or · that", "± 7 µm thé–bus")]
+    model, margin = fit(spark.createDataFrame(half, "doc_id long, text string"), "text")
+    model.known, model.complete = {}, False
+    other = [v for k, v in clean.items() if not k % 2]
+    assert not any(model.restore(other, margin)[0])
+    lost = [v for k, v in bad.items() if not k % 2]
+    assert sum(model.restore(lost, margin)[0]) >= 0.9 * len(lost)
+    signs = ["window’s", "‘left’", "wait…", "A · B × 3", "± 5 µs", "café–bar", "“quoted” — and «so»"]
+    assert not any(model.restore([" ".join(rnd.sample(signs, 3)) for _ in range(50)], margin)[0])
+
+
+def test_model_is_exact_and_pruned_alike(spark):
+    words = word_table(spark.createDataFrame([(1, "Größe Größe éa"), (2, "Größe")], "doc_id long, text string"), "text")
+    model = train(words)
+    n = {t: c for t, c in zip(("Grö", "röß"), model.tri(np.array([(ord(t[0]) << 42) | (ord(t[1]) << 21) | ord(t[2]) for t in ("Grö", "röß")], np.uint64))[0], strict=True)}
+    assert all(abs(v - (1 + np.log(2))) < 2e-3 for v in n.values())
+    small = train(words, size=3)
+    assert len(small.tri.keys) <= 3 and isinstance(small, Model)
+    assert np.isfinite(small.scores(["Größe", "xyz", "é"])).all()
+
+
+def test_very_long_and_repeated_rows(spark):
+    rows = [(1, "a" * 200_000 + "é"), (1, "x"), (1, "x"), (2, "vÃ©rifiÃ© " * 3)] + [(k, "vérifié é") for k in range(3, 60)]
+    assert found(spark, rows) == {2}
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string").withColumns({"garbled": F.lit(1), "restored": F.lit(2), "id": F.lit(3)})
     assert restore_text(df, "doc_id", "text").count() == 0
