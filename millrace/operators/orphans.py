@@ -89,7 +89,9 @@ def find_orphans(tables: Mapping[str, Table], keys: Sequence[ForeignKey], identi
     inherited (reason parent) if the target is a record of which some reference
     is orphaned.  One row per distinct record and reference; repeated records
     count once.  Cycles end because a reference is reported once, at its
-    smallest depth.  Null and blank references are not references.  Column
+    smallest depth.  Rounds run over the keys whose parent has references of its
+    own; their sound references are computed once.  Null and blank references
+    are not references.  Column
     names of the tables cannot clash with those of the result: only the
     identity, key and time columns are carried.
     """
@@ -108,23 +110,21 @@ def find_orphans(tables: Mapping[str, Table], keys: Sequence[ForeignKey], identi
         shape = checked.select(F.lit(fk.child).alias("table"), "record", "time", F.lit(fk.column).alias("ref_field"), F.lit(fk.parent).alias("ref_table"), "ref_key", "reason", *[f"__own_{c}" for c in own]).distinct()
         refs.append((fk, shape))
         direct.append(_pad(shape.filter(F.col("reason").isNotNull()), keys))
-    spark = direct[0].sparkSession
     found = direct[0]
     for d in direct[1:]:
         found = found.unionByName(d)
     found = found.withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})
-    parents = {fk.parent for fk in keys}
     out = [n for n in found.columns if not n.startswith("__own_")]
-    if not any(fk.child in parents for fk in keys):
-        return found.select(*out)
-    found = frontier = cut(found)
+    children = {fk.child for fk in keys}
+    sound = [(fk, cut(shape.filter(F.col("reason").isNull()))) for fk, shape in refs if fk.parent in children]
+    frontier = found = cut(found) if sound else found
     depth = 0
-    while max_rounds is None or depth < max_rounds:
+    while sound and (max_rounds is None or depth < max_rounds):
         depth += 1
         new = None
-        for fk, shape in refs:
+        for fk, shape in sound:
             bad = frontier.filter((F.col("table") == fk.parent) & F.col(f"__own_{fk.key}").isNotNull()).select(F.col(f"__own_{fk.key}").alias("ref_key")).distinct()
-            hit = _pad(shape.filter(F.col("reason").isNull()).join(bad, "ref_key", "left_semi"), keys)
+            hit = _pad(shape.join(bad, "ref_key", "left_semi"), keys)
             new = hit if new is None else new.unionByName(hit)
         new = new.withColumns({"reason": F.lit("parent"), "kind": F.lit("inherited"), "depth": F.lit(depth)})
         new = cut(new.join(found.select("table", "record", "ref_field", "ref_key"), ["table", "record", "ref_field", "ref_key"], "left_anti"))
@@ -132,7 +132,6 @@ def find_orphans(tables: Mapping[str, Table], keys: Sequence[ForeignKey], identi
             break
         frontier = new
         found = cut(found.unionByName(new))
-    del spark
     return found.select(*out)
 
 

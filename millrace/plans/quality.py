@@ -114,5 +114,59 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 P2_REPORT_SQL = f"WITH {_P2_REFS} SELECT ref_table, strftime(mapped_at, '%Y-%m') AS month, count(*)::BIGINT AS n_direct, 0::BIGINT AS n_inherited FROM r GROUP BY 1, 2"
 
-QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p1_language": p1_language, "p2_found": p2_found, "p2_report": p2_report}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p1_language": P1_LANGUAGE_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL}
+def p2_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Orphaned references of every table, per referencing and referenced table
+    and month: a prediction needs the features of its change, and these the
+    change, so that predictions inherit from features of absent changes."""
+    t = {name: table(spark, d, name) for name in ("changes", "deployments", "mapping", "features", "predictions", "edits", "documents", "label_sheet")}
+    tables = {
+        "changes": Table(t["changes"], deleted=id_key(F.col("visibility")) == "deleted", available_at=F.col("available_at")),
+        "deployments": Table(t["deployments"], deleted_at=F.col("deleted_at"), available_at=F.col("recorded_at")),
+        "mapping": Table(t["mapping"], time=F.col("mapped_at")),
+        "documents": Table(t["documents"], time=F.col("created_at")),
+        **{name: Table(t[name]) for name in ("features", "predictions", "edits", "label_sheet")},
+    }
+    identity = {
+        "mapping": ["change_id", "deployment_id"], "features": ["change_id"], "predictions": ["change_id", "variant_id", "seed", "run_id"],
+        "edits": ["change_id", "op", "line_order"], "documents": ["doc_id"], "label_sheet": ["sheet_no", "change_id"],
+    }
+    keys = [ForeignKey("mapping", "change_id", "changes", "change_id"), ForeignKey("mapping", "deployment_id", "deployments", "deployment_id"), ForeignKey("predictions", "change_id", "features", "change_id")]
+    keys += [ForeignKey(child, "change_id", "changes", "change_id") for child in ("features", "edits", "documents", "label_sheet")]
+    found = find_orphans(tables, keys, identity)
+    return found.groupBy("table", "ref_table", F.date_format("time", "yyyy-MM").alias("month")).agg(F.count_if(F.col("kind") == "direct").alias("n_direct"), F.count_if(F.col("kind") == "inherited").alias("n_inherited"))
+
+
+_KEY = r"nullif(lower(regexp_replace({}::VARCHAR, '^\s+|\s+$', '', 'g')), '')"
+
+
+def _refs_sql(child: str, column: str, parent: str, time: str, identity: str, late: str) -> str:
+    ids = ", ".join(_KEY.format(c) for c in identity.split())
+    ref, own = _KEY.format(column), _KEY.format("change_id")
+    return f"""SELECT DISTINCT '{child}' AS tbl, '{parent}' AS ref_table, row({ids})::VARCHAR AS rec, {own} AS own, {ref} AS ref_key, {time} AS written,
+  NOT EXISTS (FROM parents p WHERE p.tbl = '{parent}' AND p.k = {ref} AND NOT p.gone {late}) AS bad FROM {child} WHERE {ref} IS NOT NULL"""
+
+
+_LATE = "AND NOT coalesce(p.gone_at <= {0}, false) AND NOT coalesce(p.since > {0}, false)"
+_NO_TIME = "NULL::TIMESTAMP"
+P2_CASCADE_SQL = f"""
+WITH RECURSIVE parents AS (
+  SELECT 'changes' AS tbl, {_KEY.format("change_id")} AS k, lower(trim(visibility)) = 'deleted' AS gone, {_NO_TIME} AS gone_at, available_at AS since FROM changes
+  UNION ALL SELECT 'deployments', {_KEY.format("deployment_id")}, false, deleted_at, recorded_at FROM deployments
+  UNION ALL SELECT 'features', {_KEY.format("change_id")}, false, NULL, NULL FROM features),
+refs AS ({" UNION ALL ".join([
+    _refs_sql("mapping", "change_id", "changes", "mapped_at", "change_id deployment_id", _LATE.format("mapping.mapped_at")),
+    _refs_sql("mapping", "deployment_id", "deployments", "mapped_at", "change_id deployment_id", _LATE.format("mapping.mapped_at")),
+    _refs_sql("predictions", "change_id", "features", _NO_TIME, "change_id variant_id seed run_id", ""),
+    _refs_sql("features", "change_id", "changes", _NO_TIME, "change_id", ""),
+    _refs_sql("edits", "change_id", "changes", _NO_TIME, "change_id op line_order", ""),
+    _refs_sql("documents", "change_id", "changes", "created_at", "doc_id", _LATE.format("documents.created_at")),
+    _refs_sql("label_sheet", "change_id", "changes", _NO_TIME, "sheet_no change_id", ""),
+])}),
+o(tbl, ref_table, rec, own, ref_key, written, inherited) AS (
+  SELECT tbl, ref_table, rec, own, ref_key, written, 0 FROM refs WHERE bad
+  UNION SELECT r.tbl, r.ref_table, r.rec, r.own, r.ref_key, r.written, 1 FROM o JOIN refs r ON r.ref_table = o.tbl AND r.ref_key = o.own WHERE NOT r.bad)
+SELECT tbl AS "table", ref_table, strftime(written, '%Y-%m') AS month, (count(*) - sum(inherited))::BIGINT AS n_direct, sum(inherited)::BIGINT AS n_inherited FROM o GROUP BY 1, 2, 3
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p1_language": p1_language, "p2_found": p2_found, "p2_report": p2_report, "p2_cascade": p2_cascade}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_language": P1_LANGUAGE_SQL, "p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p2_cascade": P2_CASCADE_SQL}

@@ -42,3 +42,11 @@ def test_cycle_ends_and_report(spark):
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "id string, up string")
     assert find_orphans({"n": Table(e)}, [ForeignKey("n", "up", "n", "id")], {"n": ["id"]}).count() == 0
+
+
+def test_cascade_over_the_tables(spark, small):
+    from millrace.plans.quality import p2_cascade
+
+    got = {(r["table"], r["ref_table"]): (r["d"], r["i"]) for r in p2_cascade(spark, small).groupBy("table", "ref_table").agg(F.sum("n_direct").alias("d"), F.sum("n_inherited").alias("i")).collect()}
+    assert got["predictions", "features"][1] > 0 and got["predictions", "features"][0] == 0
+    assert got["features", "changes"][0] > 0 and all(i == 0 for (t, _), (_, i) in got.items() if t != "predictions")
