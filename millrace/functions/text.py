@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Line separators of Unicode text; language families by the way
-#: comments are written; lock files; characters that stand alone as tokens.
+#: Fixed values, which results depend on: line separators of Unicode text; file
+#: suffixes by the way comments are written; lock files; characters that stand
+#: alone as tokens; commit ids, full or shortened; repositories as owner/name.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-SLASH_COMMENT = (".c", ".cc", ".cpp", ".cs", ".go", ".h", ".hpp", ".java", ".js", ".jsx", ".kt", ".rs", ".scala", ".swift", ".ts", ".tsx")
-HASH_COMMENT = (".py", ".rb", ".sh", ".pl", ".r")
+SLASH_COMMENT = (".c", ".cc", ".cpp", ".cs", ".cxx", ".dart", ".go", ".groovy", ".h", ".hpp", ".java", ".js", ".jsx", ".kt", ".kts", ".m", ".mm", ".php", ".rs", ".scala", ".swift", ".ts", ".tsx")
+HASH_COMMENT = (".bash", ".pl", ".py", ".r", ".rb", ".sh")
 LOCK_FILE = r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|Gemfile\.lock|poetry\.lock|Cargo\.lock|go\.sum)$"
 ALONE = r"([.,;:(){}\[\]+\-*/=<>&|?@%^~\\])"
+COMMIT_ID, REPOSITORY = r"^[0-9a-fA-F]{7,64}$", r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
 
 
 def squeeze(text: Column) -> Column:
@@ -79,12 +81,12 @@ def says_fix(message: Column) -> Column:
 
 
 def is_commit_hash(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"^[0-9a-fA-F]{7,64}$"), F.lit(False))
+    return F.coalesce(x.rlike(COMMIT_ID), F.lit(False))
 
 
 def is_repository(x: Column) -> Column:
     """owner/name without parts that are only dots."""
-    return F.coalesce(x.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$") & ~x.rlike(r"(^|/)\.{1,2}(/|$)"), F.lit(False))
+    return F.coalesce(x.rlike(REPOSITORY) & ~x.rlike(r"(^|/)\.{1,2}(/|$)"), F.lit(False))
 
 
 def binary_label(x: Column) -> Column:
@@ -130,18 +132,27 @@ def file_sections(diff: Column) -> Column:
     return F.filter(F.split(diff, r"(?m)^(?=diff --git )"), lambda x: x.startswith("diff --git "))
 
 
+def header_path(line: Column) -> Column:
+    """The path that a file header names: the one it repeats, which may hold
+    blanks, or else the new one, without its prefix and quotes."""
+    first = F.regexp_extract(line, r"^diff --git a/(.+) b/\1$", 1)
+    new = F.regexp_extract(line, r'^diff --git .* "?(?:[ab]/)?([^" ]+|(?<=b/).+?)"?$', 1)
+    return F.when(first != "", first).when(new != "", new).otherwise(F.regexp_extract(line, r"^diff --git (?:[ab]/)?(.*)$", 1))
+
+
 def clean_diff(diff: Column) -> Column:
-    """Struct of text, files, dropped_binary, dropped_lock, hunks: the diff
-    without binary and lock-file sections, and what was counted."""
-    parts = file_sections(diff)
-    binary = lambda x: x.contains("\nBinary files ") | x.contains("GIT binary patch")
-    path = lambda x: F.btrim(F.substring_index(F.substring_index(x, "\n", 1), " b/", -1))
-    locked = lambda x: path(x).rlike(LOCK_FILE)
-    kept = F.transform(F.filter(parts, lambda x: ~binary(x) & ~locked(x)), lambda x: F.regexp_replace(x, r"\n+$", ""))
-    return F.struct(
-        F.array_join(kept, "\n").alias("text"), F.size(kept).alias("files"), F.size(F.filter(parts, binary)).alias("dropped_binary"), F.size(F.filter(parts, lambda x: ~binary(x) & locked(x))).alias("dropped_lock"),
-        F.aggregate(kept, F.lit(0), lambda n, x: n + F.size(F.split(x, "\n@@ ")) - 1).alias("hunks"),
-    )
+    """Struct of text, kept, skipped_binary, skipped_lock, hunks: the diff without
+    the sections of binary and lock files, and the number of each kind."""
+
+    def sort_out(section: Column) -> Column:
+        kind = F.when(section.contains("\nBinary files ") | section.contains("GIT binary patch"), "binary").when(header_path(F.substring_index(section, "\n", 1)).rlike(LOCK_FILE), "lock")
+        return F.struct(F.coalesce(kind, F.lit("code")).alias("kind"), F.regexp_replace(section, r"\n+$", "").alias("body"))
+
+    sections = F.transform(file_sections(diff), sort_out)
+    of = lambda kind: F.filter(sections, lambda x: x["kind"] == kind)
+    code = F.transform(of("code"), lambda x: x["body"])
+    hunks = F.aggregate(code, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(r"\n@@ ")))
+    return F.struct(F.array_join(code, "\n").alias("text"), F.size(code).alias("kept"), F.size(of("binary")).alias("skipped_binary"), F.size(of("lock")).alias("skipped_lock"), hunks.alias("hunks"))
 
 
 def hunk_units(diff: Column) -> Column:
@@ -185,14 +196,14 @@ def messages(system: Column, demos: Column, user: Column) -> Column:
     return F.concat(F.array(one("system", system)), pairs, F.array(one("user", user)))
 
 
-def parse_score(reply: Column) -> Column:
-    """The score of a reply that is a JSON object of exactly the key score with a
-    number from 0 to 100, in a code fence or not, as a fraction; else null."""
-    body = F.btrim(F.regexp_replace(reply, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", "$1"))
-    keys = F.json_object_keys(body)
-    number = F.regexp_extract(body, r'^\{\s*"score"\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*\}$', 1)
+def parse_score(reply: Column, key: str = "risk_score") -> Column:
+    """The score of a reply that is a JSON object of exactly one key with a number
+    from 0 to 100, as a fraction; else null.  A code fence may stand around it,
+    alone on its line, unmarked or marked json."""
+    body = F.btrim(F.regexp_replace(F.btrim(reply), r"(?s)^```(?:json)?\n(.*)```$", "$1"))
+    number = F.regexp_extract(body, rf'^\{{\s*"\Q{key}\E"\s*:\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*\}}$', 1)
     x = number.try_cast("double")
-    return F.when((F.size(keys) == 1) & x.between(0, 100), x / 100)
+    return F.when(x.between(0, 100), x / 100)
 
 
 def patch_statistics(df: DataFrame, identity: str, diff: str) -> DataFrame:
@@ -208,7 +219,7 @@ def patch_statistics(df: DataFrame, identity: str, diff: str) -> DataFrame:
     start, hunk, binary = line.startswith("diff --git "), line.startswith("@@"), line.startswith("Binary files ") | line.startswith("GIT binary patch")
     rows = rows.select(identity, line.alias("line"), start.alias("start"), hunk.alias("hunk"), binary.alias("bin"), F.sum(start.cast("int")).over(w).alias("file"), F.coalesce(F.last(F.when(hunk, True).when(start | binary, False), True).over(w), F.lit(False)).alias("inside"))
     plus, minus = F.col("inside") & ~F.col("hunk") & F.col("line").startswith("+"), F.col("inside") & ~F.col("hunk") & F.col("line").startswith("-")
-    path = F.regexp_extract("line", r"^diff --git .* (?:b/)?(.+)$", 1)
+    path = header_path(F.col("line"))
     files = rows.groupBy(identity, "file").agg(F.count_if(plus).alias("a"), F.count_if(minus).alias("d"), F.count_if("bin").alias("b"), F.count_if("hunk").alias("h"), F.max(F.when(F.col("start"), directory(path))).alias("dir"))
     real = (F.col("file") > 0) | (F.col("a") + F.col("d") > 0)
     churn = F.col("a") + F.col("d")

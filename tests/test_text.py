@@ -14,17 +14,18 @@ def one(spark, expr, **values):
 
 
 @pytest.mark.parametrize("line, ext, want", [
-    ("if (a != null && b_c >= 1.5) { // why", ".java", "if ( a ! = null & & b c > = 1 . 5 ) {"),
-    ('String s = "http://x//y"; // c', ".java", 'String s = "http : / / x / / y" ;'),
-    ("/** doc", ".java", ""), ("  // only", ".go", ""), ("x = 1  # note", ".py", "x = 1"), ("a.b() // kept", ".xyz", "a . b ( ) / / kept"),
+    ("while (left_over > 0x1F) { // drain", ".kt", "while ( left over > 0x1F ) {"),
+    ('log("a // b"); // c', ".go", 'log ( "a / / b" ) ;'),
+    ("/** doc", ".java", ""), ("* more doc", ".php", ""), ("  // only", ".go", ""), ("n -= 2   # less", ".bash", "n - = 2"), ("#!/bin/sh", ".sh", ""), ("a.b() // kept", ".xyz", "a . b ( ) / / kept"),
     ('"open // literal', ".ts", '"open / / literal'), (r'"a\"//b" // c', ".ts", '"a \\ " / / b"'), ("a / b", ".c", "a / b"), ("", ".c", ""),
+    ("int x = 1; // y", ".cxx", "int x = 1 ;"), ("int x = 1; // y", ".dart", "int x = 1 ;"), ("val x = 1 // y", ".kts", "val x = 1"),
 ])
 def test_clean_line(spark, line, ext, want):
     assert one(spark, T.clean_line(F.col("a"), F.col("b")), a=line, b=ext) == want
 
 
 def test_messages_paths_and_labels(spark):
-    assert one(spark, T.clean_message(F.col("a")), a="Fix NPE (IVY-20)\ngit-svn-id: x") == "Fix NPE ( IVY - 20 )"
+    assert one(spark, T.clean_message(F.col("a")), a="Drop stale rows [OPAL-7]\ngit-svn-id: x\nTwice") == "Drop stale rows [ OPAL - 7 ] Twice"
     assert [one(spark, T.extension(F.col("a")), a=x) for x in ("a/b.C.Java", "x/.bashrc", "y.", "z")] == [".java", "", "", ""]
     assert [one(spark, T.renamed_to(F.col("a")), a=x) for x in ("a/{b => c}/d", "a/{b => }/d", "x => y", "p")] == ["a/c/d", "a/d", "y", "p"]
     assert (one(spark, T.subsystem(F.col("a")), a="a/b/c"), one(spark, T.directory(F.col("a")), a="a/b/c"), one(spark, T.directory(F.col("a")), a="c")) == ("a", "a/b", "")
@@ -33,14 +34,14 @@ def test_messages_paths_and_labels(spark):
     assert one(spark, T.says_fix(F.col("a")), a="a BUG") is True
 
 
-DIFF = """diff --git a/x/A.java b/x/A.java
+DIFF = """diff --git a/x/Queue.java b/x/Queue.java
 index 1..2 100644
---- a/x/A.java
-+++ b/x/A.java
+--- a/x/Queue.java
++++ b/x/Queue.java
 @@ -1,2 +1,2 @@ f()
 -old
 +new
-+++increment
+++ n;
 diff --git a/b.bin b/b.bin
 Binary files a/b.bin and b/b.bin differ
 diff --git a/go.sum b/go.sum
@@ -62,7 +63,7 @@ def test_patch_statistics(spark):
 
 def test_diffs(spark):
     c = one(spark, T.clean_diff(F.col("a")), a=DIFF)
-    assert (c["files"], c["dropped_binary"], c["dropped_lock"], c["hunks"]) == (1, 1, 1, 1)
+    assert (c["kept"], c["skipped_binary"], c["skipped_lock"], c["hunks"]) == (1, 1, 1, 1)
     assert [u.count("@@ ") > 0 for u in one(spark, T.hunk_units(F.col("a")), a=DIFF)] == [True, False, True, True]
     moved = DIFF.replace("index 1..2", "index 3..4").replace("-1,2 +1,2", "-7,2 +9,2")
     assert one(spark, T.normalize_patch(F.col("a")), a=DIFF) == one(spark, T.normalize_patch(F.col("a")), a=moved.replace("\n", "\r\n"))
@@ -76,8 +77,17 @@ def test_rendering(spark):
     assert one(spark, T.render(F.col("m"), F.col("a"), F.col("d")), m="msg", a=["a"], d=["b"]) == "msg\n+ a\n- b"
     assert one(spark, T.head_tail(F.col("a"), 5, [99]), a=[1, 2, 3, 4, 5, 6]) == [1, 2, 99, 5, 6]
     assert one(spark, T.head_tail(F.col("a"), 2, [99]), a=[1, 2, 3]) == [1, 2] and one(spark, T.head_tail(F.col("a"), 3, [9]), a=[1, 2, 3]) == [1, 2, 3]
-    replies = {'{"score": 50}': 0.5, '```json\n{"score": 1.25}\n```': 0.0125, '{"score": true}': None, '{"score": 101}': None, '{"score": -1}': None, '{"score": "5"}': None, '{"score": 5, "x": 1}': None, "no": None}
-    assert {k: one(spark, T.parse_score(F.col("a")), a=k) for k in replies} == replies
+    replies = {'{"score": 50}': 0.5, '```json\n{"score": 1.25}\n```': 0.0125, '```\n{"score": 3}```': 0.03, '```json {"score": 3}```': None, '{"score": true}': None, '{"score": 101}': None, '{"score": -1}': None, '{"score": "5"}': None, '{"score": 5, "x": 1}': None, "no": None}
+    assert {k: one(spark, T.parse_score(F.col("a"), "score"), a=k) for k in replies} == replies
+    assert one(spark, T.parse_score(F.col("a")), a='{"risk_score": 5e1}') == 0.5
+
+
+def test_header_paths(spark):
+    headers = {
+        "diff --git a/x y/A b.java b/x y/A b.java": "x y/A b.java", "diff --git a/old.c b/src/new.c": "src/new.c", "diff --git a/b/c b/b/c": "b/c",
+        'diff --git "a/q\\303.c" "b/q\\303.c"': "q\\303.c", "diff --git one two": "two",
+    }
+    assert {k: one(spark, T.header_path(F.col("a")), a=k) for k in headers} == headers
 
 
 def test_times_and_numbers(spark):
