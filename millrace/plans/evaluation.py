@@ -181,6 +181,95 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return p.select("variant_id", *[F.round(c, 10).alias(c) for c in ("mean_difference", "low", "high", "share_not_above")])
 
 
+def _weeks(spark: SparkSession, d: str) -> DataFrame:
+    """The ISO week of each change's prediction, by its first manifest row."""
+    return table(spark, d, "internal_manifest").groupBy(id_key(F.col("id")).alias("change_id")).agg(Z.iso_week(F.min("prediction_at")).alias("week"))
+
+
+def week_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """As paired_bootstrap, over weeks instead of projects, on all changes and on
+    those outside the largest project."""
+    rows = scored(spark, d).join(success_subset(spark, d), "change_id", "left_semi").join(_weeks(spark, d), "change_id")
+    largest = rows.groupBy("project").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project").limit(1).select(F.col("project").alias("largest"))
+    subsets = F.when(F.col("project") == F.col("largest"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("without_largest")))
+    rows = rows.join(F.broadcast(largest)).withColumn("subset", F.explode(subsets))
+    out = None
+    for name in ("all", "without_largest"):
+        per = E.bootstrap_values(rows.filter(F.col("subset") == name), "variant_id", "score", "label", "week", 200, 7).withColumn("ap", F.round("ap", 12))
+        one = E.paired_difference(per, "b0-lr", "variant_id", "replicate", "ap").select(F.lit(name).alias("subset"), "variant_id", *[F.round(c, 10).alias(c) for c in ("mean_difference", "low", "high", "share_not_above")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of average precision over resampled changes."""
+    return E.bootstrap_ap(scored(spark, d), "variant_id", "score", "label", "change_id", 50, 7)
+
+
+def _seed_scores(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "predictions").filter(_ok()).groupBy("variant_id", "seed", id_key(F.col("change_id")).alias("change_id")).agg(F.max("score").alias("score"))
+    return p.join(labels(spark, d), "change_id").withColumn("project", F.split("change_id", ":")[0])
+
+
+def seed_paired(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision of each variant against b0-lr, run by run, with the
+    interval of the mean over seeds on resampled projects."""
+    rows = _seed_scores(spark, d)
+    runs = R.ap_auc(rows, ["variant_id", "seed"], "score", "label", None)
+    pairs = E.seed_pairs(runs, "b0-lr", "variant_id", "seed", "ap")
+    per = E.bootstrap_values(rows.withColumn("run", F.concat_ws("#", "variant_id", "seed")), "run", "score", "label", "project", 200, 7)
+    per = per.groupBy(F.split("run", "#")[0].alias("variant_id"), "replicate").agg(F.round(F.avg("ap"), 12).alias("ap"))
+    interval = E.paired_difference(per, "b0-lr", "variant_id", "replicate", "ap").select("variant_id", "low", "high", "share_not_above")
+    return pairs.join(interval, "variant_id").select("variant_id", "n_pairs", *[F.round(c, 8).alias(c) for c in ("mean_difference", "sd", "low", "high", "share_not_above")])
+
+
+def _draws_sql(source: str, cluster: str, n: int, name: str = "") -> str:
+    """CTEs d{name}(c, r, times) of n replicates over the clusters of a source."""
+    return f"""
+k{name} AS (SELECT c, row_number() OVER (ORDER BY sha256(c), c) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT {cluster} AS c FROM {source})),
+u{name} AS (SELECT r, floor(('0x' || substr(sha256('7:' || r || ':' || k), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * n)::BIGINT AS k FROM k{name}, range({n}) AS t(r)),
+d{name} AS (SELECT c, r, count(*)::DOUBLE AS times FROM u{name} JOIN k{name} USING (k) GROUP BY 1, 2)"""
+
+
+def _values_sql(source: str, cluster: str, model: str, name: str = "") -> str:
+    """CTE v{name}(model, r, ap) over the draws d{name}."""
+    return f"""
+g{name} AS (SELECT {model} AS model, r, score, sum(label * times) AS tp, sum(times) AS n FROM {source} s JOIN d{name} ON d{name}.c = s.{cluster} GROUP BY ALL),
+c{name} AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY model, r) AS p FROM g{name} WINDOW w AS (PARTITION BY model, r ORDER BY score DESC)),
+v{name} AS (SELECT model, r, round(sum(tp / nullif(p, 0) * ctp / cn), 12) AS ap FROM c{name} GROUP BY 1, 2)"""
+
+
+def _paired_sql(v: str, places: int = 10) -> str:
+    return f"""SELECT a.model AS variant_id, round(avg(a.ap - b.ap), {places}) AS mean_difference, round(quantile_cont(a.ap - b.ap, 0.025), {places}) AS low, round(quantile_cont(a.ap - b.ap, 0.975), {places}) AS high,
+  round(avg((a.ap - b.ap <= 0)::INT::DOUBLE), {places}) AS share_not_above FROM {v} a JOIN {v} b ON a.r = b.r AND b.model = 'b0-lr' WHERE a.model <> 'b0-lr' AND a.ap - b.ap IS NOT NULL GROUP BY 1"""
+
+
+def _interval_sql(cluster: str, n: int) -> str:
+    return f"""WITH {SCORED}, {_draws_sql("x", cluster, n, "b")}, {_values_sql("x", cluster, "variant_id", "b")},
+g AS (SELECT variant_id, score, sum(label)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM x GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY variant_id) AS p FROM g WINDOW w AS (PARTITION BY variant_id ORDER BY score DESC)),
+own AS (SELECT variant_id, sum(tp / nullif(p, 0) * ctp / cn) AS ap FROM c GROUP BY 1),
+q AS (SELECT model, quantile_cont(ap, 0.025) AS low, quantile_cont(ap, 0.975) AS high, count(ap) AS n_used FROM vb GROUP BY 1)
+SELECT variant_id, round(own.ap, 9) AS ap, round(low, 9) AS low, round(high, 9) AS high, n_used FROM own LEFT JOIN q ON model = variant_id"""
+
+
+COMMON = f"cok AS (SELECT lower(trim(change_id)) AS change_id FROM predictions WHERE {OK} GROUP BY 1 HAVING count(DISTINCT variant_id) = (SELECT count(DISTINCT variant_id) FROM predictions)), z AS (SELECT x.* FROM x JOIN cok USING (change_id))"
+WEEKS = "wk AS (SELECT lower(trim(id)) AS change_id, strftime(min(prediction_at), '%G-W%V') AS week FROM internal_manifest GROUP BY 1), zw AS (SELECT z.*, week FROM z JOIN wk USING (change_id)), big AS (SELECT project FROM zw GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), zo AS (SELECT * FROM zw WHERE project <> (SELECT project FROM big))"
+BOOTSTRAPS = {
+    "bootstrap_ap": _interval_sql("project", 200), "bootstrap_rows": _interval_sql("change_id", 50),
+    "bootstrap_paired": f"WITH {SCORED}, {COMMON}, {_draws_sql('z', 'project', 200)}, {_values_sql('z', 'project', 'variant_id')} {_paired_sql('v')}",
+    "bootstrap_weeks": f"WITH {SCORED}, {COMMON}, {WEEKS}, {_draws_sql('zw', 'week', 200, '1')}, {_values_sql('zw', 'week', 'variant_id', '1')}, {_draws_sql('zo', 'week', 200, '2')}, {_values_sql('zo', 'week', 'variant_id', '2')} SELECT 'all' AS subset, * FROM ({_paired_sql('v1')}) UNION ALL SELECT 'without_largest', * FROM ({_paired_sql('v2')})",
+    "bootstrap_seeds": f"""WITH {SCORED}, {SEEDS}, yp AS (SELECT *, variant_id || '#' || seed AS run, split_part(change_id, ':', 1) AS project FROM y), {_draws_sql('yp', 'project', 200)}, {_values_sql('yp', 'project', 'run', 'x').replace('dx', 'd')},
+v AS (SELECT split_part(model, '#', 1) AS model, r, round(avg(ap), 12) AS ap FROM vx GROUP BY ALL), iv AS ({_paired_sql('v', 8)}),
+g0 AS (SELECT variant_id, seed, score, sum(label)::DOUBLE AS tp, count(*)::DOUBLE AS n FROM yp GROUP BY ALL),
+c0 AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY variant_id, seed) AS p FROM g0 WINDOW w AS (PARTITION BY variant_id, seed ORDER BY score DESC)),
+ra AS (SELECT variant_id, seed, sum(tp / nullif(p, 0) * ctp / cn) AS ap FROM c0 GROUP BY ALL),
+sl AS (SELECT variant_id, list_sort(list(DISTINCT seed)) AS seeds FROM ra GROUP BY 1),
+pr AS (SELECT a.variant_id, a.ap - b.ap AS d FROM ra a JOIN sl USING (variant_id) JOIN ra b ON b.variant_id = 'b0-lr' AND a.variant_id <> 'b0-lr' AND (a.seed = b.seed OR sl.seeds <> (SELECT seeds FROM sl WHERE variant_id = 'b0-lr')) WHERE a.ap - b.ap IS NOT NULL)
+SELECT variant_id, count(*) AS n_pairs, round(avg(d), 8) AS mean_difference, round(stddev_samp(d), 8) AS sd, any_value(low) AS low, any_value(high) AS high, any_value(share_not_above) AS share_not_above FROM pr JOIN iv USING (variant_id) GROUP BY 1""",
+}
+
+
 def iso_weeks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(Z.iso_week(F.col("ts")).alias("week"), Z.month(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
 
@@ -291,7 +380,7 @@ SELECT change_id, count(*) AS n_terms, round(max(w / n), 5) AS top, round(sum(w
 QUERIES = {
     "history_features": history, "eligibility_waterfall": waterfall, "deployment_scores": deployment_scores, "deployment_metrics": deployment_metrics, "deployment_months": deployment_months, "size_bias": size_bias,
     "deployment_scores_all": deployment_scores_all, "deployment_metrics_all": deployment_metrics_all, "size_bias_all": size_bias_all,
-    "success_subset": success_subset, "coverage_table": coverage_table, "common_metrics": common_metrics, "replicate_mean_sd": replicates, "best_seed": best_seed, "bootstrap_ap": bootstrap, "bootstrap_paired": paired_bootstrap, "iso_week_clusters": iso_weeks,
+    "success_subset": success_subset, "coverage_table": coverage_table, "common_metrics": common_metrics, "replicate_mean_sd": replicates, "best_seed": best_seed, "bootstrap_ap": bootstrap, "bootstrap_paired": paired_bootstrap, "bootstrap_weeks": week_bootstrap, "bootstrap_rows": row_bootstrap, "bootstrap_seeds": seed_paired, "iso_week_clusters": iso_weeks,
     "scaler_params": scaler, "linear_score": linear, "logistic_score": logistic, "class_neighbours": neighbours, "tokenize_text": tokens, "clean_message": messages, "evidence_allocation": evidence, "char_tfidf": tfidf,
 }
 _AP = "round(sum(tp / nullif(p, 0) * ctp / cn), 6) AS ap, round(sum(tp * ((t - p) - (cn - ctp) + (n - tp) / 2) / nullif(p * (t - p), 0)), 6) AS auc"
@@ -323,5 +412,5 @@ ORACLES = {
     "linear_score": LINEAR, "class_neighbours": NEIGHBOURS,
     "tokenize_text": "SELECT DISTINCT change_id, line_order, " + _tokens_sql("text") + r" AS tokens, CASE WHEN file_id IS NOT NULL THEN lower(regexp_extract(regexp_extract(file_id, '[^/]*$'), '^.+(\.[^.]+)$', 1)) END AS ext FROM edits",
     "clean_message": r"WITH m AS (SELECT change_id, message, array_to_string(list_filter(string_split(coalesce(message, ''), chr(10)), lambda x: NOT starts_with(x, 'git-svn-id:')), chr(10)) AS t FROM changes), k AS (SELECT *, trim(regexp_replace(lower(message), '" + SPACE + r"', ' ', 'g'), ' ') AS q FROM m) SELECT change_id, " + _tokens_sql("t") + " AS message, coalesce(regexp_matches(message, '(?i)fix|bug'), false) AS fix, CASE WHEN length(q) >= 20 THEN sha256(q) END AS key FROM k",
-    "evidence_allocation": EVIDENCE, "char_tfidf": TFIDF,
+    "evidence_allocation": EVIDENCE, "char_tfidf": TFIDF, **BOOTSTRAPS,
 }

@@ -163,6 +163,41 @@ def test_bootstrap(spark):
     assert math.isclose(d["mean_difference"], 0.0, abs_tol=1e-12) and d["share_not_above"] == 0.5
 
 
+def test_draws(spark):
+    names = spark.createDataFrame([(f"c{k}",) for k in range(40)] * 2 + [(None,)], "c string")
+    got = {r["c"]: r["times"] for r in E.draw_clusters(names.repartition(5), "c", 30, 3).collect()}
+    assert got == {r["c"]: r["times"] for r in E.draw_clusters(names.coalesce(1), "c", 30, 3).collect()}
+    assert len(got) <= 40 and all(sum(t[r] for t in got.values()) == 40 for r in range(30))
+    assert 0.3 < sum(t == 0 for v in got.values() for t in v) / (30 * len(got)) < 0.45
+    assert E.draw_clusters(names.limit(0), "c", 5, 3).count() == 0
+
+
+def test_bootstrap_of_one_large_score(spark):
+    """Half of all rows have one score: the replicates are those of brute force."""
+    rows = [("m", f"c{k % 30}", k % 3 == 0, 0.5 if k % 2 else k / 5000) for k in range(4000)]
+    df = spark.createDataFrame([(m, c, int(y), s) for m, c, y, s in rows], "m string, c string, y int, s double")
+    times = {r["c"]: r["times"] for r in E.draw_clusters(df, "c", 4, 9).collect()}
+    got = {r["replicate"]: r["ap"] for r in E.bootstrap_values(df, "m", "s", "y", "c", 4, 9).collect()}
+    for r in range(4):
+        per = {}
+        for _, c, y, s in rows:
+            tp, n = per.get(s, (0, 0))
+            w = times[c][r] if c in times else 0
+            per[s] = (tp + w * y, n + w)
+        positives = sum(tp for tp, _ in per.values())
+        ap = ctp = cn = 0
+        for s in sorted(per, reverse=True):
+            ctp, cn = ctp + per[s][0], cn + per[s][1]
+            ap += per[s][0] / positives * ctp / cn if cn else 0
+        assert math.isclose(got[r], ap, rel_tol=1e-9)
+
+
+def test_seed_pairs(spark):
+    runs = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("b", 1, 0.6), ("b", 2, 0.9), ("c", 9, 0.6)], "m string, seed int, v double")
+    got = {r["m"]: (r["n_pairs"], round(r["mean_difference"], 9), r["sd"] and round(r["sd"], 9)) for r in E.seed_pairs(runs, "a", "m", "seed", "v").collect()}
+    assert got == {"b": (2, 0.15, round(0.1 / math.sqrt(2), 9)), "c": (2, 0.0, round(0.2 / math.sqrt(2), 9))}
+
+
 def test_paired_bootstrap_values(spark):
     rows = [(m, f"c{k % 6}", k % 2, float(k % 2) if m == "a" else 0.5) for m in ("a", "b") for k in range(36)]
     df = spark.createDataFrame(rows + [("a", "c6", 1, 0.9), ("b", "c6", 0, 0.9)], "m string, c string, y int, s double")
