@@ -22,10 +22,10 @@ from millrace.llm.layout import fold
 
 #: Fixed value: the longest runs of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
-#: Word counts are kept per bucket of word hashes: a table of fixed size that
-#: orders words, whatever the vocabulary.  Sharing a bucket only shifts a word
-#: in the order.
-BUCKETS, CHUNKS = 1 << 20, 64
+#: Word counts are kept per bucket of word hashes, on a scale of STEPS to a power
+#: of two: a table of fixed size (2 MB) that orders words, whatever the
+#: vocabulary.  Sharing a bucket or a step only shifts a word in the order.
+BUCKETS, STEPS = 1 << 20, 4
 #: A record with more rows of text than this has its words gathered through a
 #: distinct first, so that no task holds all its text.
 WIDE = 100_000
@@ -48,48 +48,19 @@ def word_sets(texts: DataFrame) -> DataFrame:
     return sets.unionByName(lots.groupBy("id").agg(F.array_sort(F.collect_set("w")).alias("words")))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words per bucket and side of one partition, as CHUNKS binary rows."""
-    counts = np.zeros((2, BUCKETS), np.int64)
-    for b in batches:
-        words, at = _flat(b.column(0))
-        side = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        which = np.repeat(side, np.diff(at))
-        bucket = words & (BUCKETS - 1)
-        for s in (0, 1):
-            counts[s] += np.bincount(bucket[which == bool(s)], minlength=BUCKETS)
-    if counts.any():
-        yield from _chunks({k: counts[:, k * (BUCKETS // CHUNKS) : (k + 1) * (BUCKETS // CHUNKS)] for k in range(CHUNKS)})
-
-
-def _chunks(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for k, v in parts.items():
-        small = np.minimum(v, np.iinfo(np.int32).max).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small.tobytes()], pa.binary())], names=["chunk", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(raw, np.int32).reshape(2, -1).astype(np.int64)
-            total[k] = total[k] + new if k in total else new
-    yield from _chunks(total)
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = lists.offsets.to_numpy()
     return lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], (at - at[0]).astype(np.int64)
 
 
 def _side_counts(sets: DataFrame) -> np.ndarray:
-    """Bucket counts of both sides: 8 MB, whatever the data."""
-    shape = "chunk int, counts binary"
-    rows = sets.select("words", "train").mapInArrow(_count, shape).repartition(min(CHUNKS, 16), "chunk").mapInArrow(_add, shape).collect()
-    counts = np.zeros((2, BUCKETS), np.int32)
-    width = BUCKETS // CHUNKS
-    for r in rows:
-        counts[:, r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int32).reshape(2, -1)
+    """How frequent the words of each bucket are on either side, 0 for none."""
+    words = sets.select("train", F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket"))
+    step = lambda n: F.when(n > 0, 1 + F.floor(STEPS * F.log2(n))).otherwise(0).cast("short")
+    got = words.agg(step(F.count_if(~F.col("train"))).alias("e"), step(F.count_if("train")).alias("t")).toArrow()
+    counts = np.zeros((2, BUCKETS), np.uint8)
+    for side, c in enumerate(("e", "t")):
+        counts[side, got["bucket"].to_numpy()] = got[c].to_numpy()
     return counts
 
 
@@ -99,7 +70,7 @@ def prefixes(words: np.ndarray, at: np.ndarray, train: np.ndarray, counts: np.nd
     rec = np.repeat(np.arange(len(size)), size)
     bucket = words & (BUCKETS - 1)
     mine = counts[:, bucket]
-    order = np.lexsort((words, mine[0] + mine[1], rec))
+    order = np.lexsort((words, np.maximum(mine[0], mine[1]), rec))
     pos = np.arange(len(words)) - np.repeat(at[:-1], size)
     keep = pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[rec]
     other = np.where(train[rec], mine[0][order], mine[1][order])
@@ -121,7 +92,7 @@ def signatures(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-PREFIX = "word bigint, x bigint, y bigint, size int, pos int, s0 bigint, s1 bigint, train boolean"
+PREFIX = "word bigint, x bigint, y bigint, size int, pos int, s0 bigint, s1 bigint"
 
 
 def overlap_classes(sets: DataFrame, t: float) -> DataFrame:
@@ -129,6 +100,9 @@ def overlap_classes(sets: DataFrame, t: float) -> DataFrame:
     and another of the training side with a similarity of t or more.
 
     sets: (x, y, words, train), one row a record, x and y the digest of words.
+    Records of one side with equal sets are taken once, before their prefixes
+    are made, so the join by words stays one that AQE can split where a word is
+    frequent.
     """
     if not 0 < t <= 1:
         raise ValueError("t must lie in (0, 1]")
@@ -136,15 +110,7 @@ def overlap_classes(sets: DataFrame, t: float) -> DataFrame:
     counts = spark.sparkContext.broadcast(_side_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int, bool]] = set()
         for b in batches:
-            keys = list(zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True))
-            pick = []
-            for i, k in enumerate(keys):
-                if k not in seen:
-                    seen.add(k)
-                    pick.append(i)
-            b = b.take(pa.array(pick, pa.int32()))
             words, at = _flat(b.column(2))
             train = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             rec, pos, word = prefixes(words, at, train, counts.value, t)
@@ -152,12 +118,11 @@ def overlap_classes(sets: DataFrame, t: float) -> DataFrame:
             if rec.size:
                 x, y = (b.column(k).to_numpy() for k in (0, 1))
                 size = np.diff(at).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (word, x[rec], y[rec], size[rec], pos.astype(np.int32), s0[rec], s1[rec], train[rec])], names=["word", "x", "y", "size", "pos", "s0", "s1", "train"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (word, x[rec], y[rec], size[rec], pos.astype(np.int32), s0[rec], s1[rec])], names=["word", "x", "y", "size", "pos", "s0", "s1"])
 
-    rows = sets.filter(F.size("words") > 0).select("x", "y", "words", "train").mapInArrow(run, PREFIX)
-    rows = cut(rows.distinct())
-    e = rows.filter(~F.col("train")).select(F.col("word"), *[F.col(c).alias(f"e{c}") for c in ("x", "y", "size", "pos", "s0", "s1")])
-    r = rows.filter("train").select(F.col("word"), *[F.col(c).alias(f"t{c}") for c in ("x", "y", "size", "pos", "s0", "s1")])
+    classes = sets.filter(F.size("words") > 0).select("x", "y", "words", "train").dropDuplicates(["x", "y", "train"])
+    side = lambda train, p: classes.filter(F.col("train") == train).mapInArrow(run, PREFIX).select("word", *[F.col(c).alias(f"{p}{c}") for c in ("x", "y", "size", "pos", "s0", "s1")])
+    e, r = side(False, "e"), side(True, "t")
     both = F.col("esize") + F.col("tsize")
     need = F.ceil(F.lit(t / (1 + t)) * both - F.lit(1e-9))
     other = (F.col("ex") != F.col("tx")) | (F.col("ey") != F.col("ty"))
