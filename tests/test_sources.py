@@ -44,6 +44,55 @@ def test_jsonl_and_zip(spark, tmp_path):
         I.read_zip_csv(str(tmp_path / "bad.zip"), "../x.csv")
 
 
+def test_split_jsonl(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"a": 1}\n\n[1]\nno\n{"a": "x"}\n{"b": 2}\n')
+    rows, bad = I.split_jsonl(spark, str(tmp_path / "c.jsonl"), "a int")
+    assert sorted((r["a"] for r in rows.collect()), key=str) == [1, None]
+    assert sorted(r["line"] for r in bad.collect()) == ["[1]", "no", '{"a": "x"}'] and bad.first()["file"].endswith("c.jsonl")
+
+
+def test_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", "a\n" + "1\n" * 50_000)
+    with pytest.raises(ContractError, match="too large"):
+        I.read_zip_csv(str(tmp_path / "z.zip"), "x.csv")
+    with pytest.raises(ContractError, match="expected"):
+        I.read_zip_csv(str(tmp_path / "z.zip"), "x.csv", sha256="0" * 64)
+    files = {"a/b.txt": b"one", "c": b""}
+    I.write_bundle(files, str(tmp_path / "t.tar"))
+    I.write_bundle(dict(reversed(files.items())), str(tmp_path / "u.tar"))
+    assert I.read_bundle(str(tmp_path / "t.tar")) == files and (tmp_path / "t.tar").read_bytes() == (tmp_path / "u.tar").read_bytes()
+    (tmp_path / "v.tar").write_bytes((tmp_path / "t.tar").read_bytes().replace(b"one", b"two"))
+    with pytest.raises(ContractError, match="manifest"):
+        I.read_bundle(str(tmp_path / "v.tar"))
+    with pytest.raises(ContractError, match="unsafe"):
+        I.write_bundle({"../x": b""}, str(tmp_path / "w.tar"))
+
+
+def test_commit_scan(spark):
+    log = spark.createDataFrame([("c1||ann|100\nFirst\n\ndiff --git a/x b/x\n@@ -1 +1 @@\n-a\n+b\n",), ("c2|c1|bob|200\nSecond\nbody\n",), ("c3|c1 c2|bob|300\nMerge",)], "block string")
+    commits = I.parse_commits(log, "block").withColumn("time", F.timestamp_seconds("at"))
+    got = {r["commit"]: (list(r["parents"]), r["dev"], r["at"], r["message"], r["diff"]) for r in commits.collect()}
+    assert got["c1"] == ([], "ann", 100, "First", "diff --git a/x b/x\n@@ -1 +1 @@\n-a\n+b") and got["c2"] == (["c1"], "bob", 200, "Second\nbody", "")
+    pick = lambda **k: sorted(r["commit"] for r in I.select_commits(commits, "time", **k).collect())
+    assert pick(parents="parents") == ["c1", "c2"] and pick(most=1, parents="parents") == ["c2"] and pick(since="1970-01-01 00:03:20") == ["c2", "c3"] and pick(until="1970-01-01 00:03:20") == ["c1"]
+
+
+def test_generations_and_canonical_rows(spark, tmp_path):
+    df = spark.createDataFrame([(2, None, "é"), (1, 0.5, "x")], "b int, a double, c string")
+    O.write_canonical(df, str(tmp_path / "rows"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "rows")).collect()) == ['{"a":0.5,"b":1,"c":"x"}', '{"a":null,"b":2,"c":"é"}']
+    with pytest.raises(FileExistsError):
+        O.write_canonical(df, str(tmp_path / "rows"))
+    folder = str(tmp_path / "gen")
+    O.commit_generation(df, folder)
+    O.commit_generation(df.limit(1), folder)
+    assert O.current_generation(spark, folder).count() == 1 and spark.read.parquet(folder + "/gen-000001").count() == 2
+    assert O.fingerprint({"b": 1, "a": [1, "é"]}) == O.fingerprint({"a": [1, "é"], "b": 1}) != O.fingerprint({"a": [1], "b": 1})
+    with pytest.raises(ValueError):
+        O.fingerprint(float("nan"))
+
+
 def test_git_logs(spark):
     log = spark.createDataFrame([("s1|ann|100\n3\t1\tsrc/{a => b}/x.py\n-\t-\timg.png\n\n",), ("s2|bob|200\n",)], "block string")
     assert sorted(tuple(r) for r in I.parse_numstat(log, F.col("block")).collect()) == [("s1", "ann", 100, "img.png", 0, 0), ("s1", "ann", 100, "src/b/x.py", 3, 1)]
