@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.durable import cut
 from millrace.functions.keys import digest_uniform
 from millrace.operators.prefix import running_sum
 from millrace.operators.ranking import SLICES, ap_auc, score_table
@@ -89,10 +90,10 @@ def bootstrap_values(df: DataFrame, model: str, score: str, label: str, cluster:
     what lies above.  Models are resampled with the same draws.
     """
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(cluster).isNotNull()).select(F.col(model).alias("__m"), F.col(cluster).cast("string").alias("__c"), F.col(score).cast("double").alias("__s"), F.col(label).cast("double").alias("__y"))
-    sums = rows.groupBy("__m", "__c", "__s").agg(F.sum("__y").alias("tp"), F.count(F.lit(1)).cast("double").alias("n"))
+    sums = cut(rows.groupBy("__m", "__c", "__s").agg(F.sum("__y").alias("tp"), F.count(F.lit(1)).cast("double").alias("n")))
     cuts = sums.groupBy("__m").agg(F.array_distinct(F.percentile_approx("__s", [k / SLICES for k in range(1, SLICES)], 1000)).alias("cuts"))
     placed = sums.join(cuts, "__m").select("__m", F.size(F.filter("cuts", lambda c: c > F.col("__s"))).alias("slice"), "__c", "__s", "tp", "n")
-    placed = placed.repartition("__m", "slice").join(draw_clusters(rows.select("__c"), "__c", replicates, seed), "__c")
+    placed = placed.repartition("__m", "slice").join(cut(draw_clusters(sums.select("__c"), "__c", replicates, seed)), "__c")
     kind = df.schema[model].dataType.simpleString()
 
     def weighed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +129,7 @@ def bootstrap_values(df: DataFrame, model: str, score: str, label: str, cluster:
     offsets = sliced.groupBy("__m").applyInArrow(above, f"__m {kind}, slice int, otp array<double>, on array<double>, p array<double>")
     parts = placed.join(offsets, ["__m", "slice"]).groupBy("__m", "slice").applyInArrow(part, f"__m {kind}, ap array<double>")
     flat = parts.select(F.col("__m").alias(model), F.posexplode("ap").alias("replicate", "ap")).groupBy(model, "replicate").agg(F.sum("ap").alias("ap"))
-    return flat.withColumn("ap", F.when(~F.isnan("ap"), F.col("ap")))
+    return cut(flat.withColumn("ap", F.when(~F.isnan("ap"), F.col("ap"))))
 
 
 def bootstrap_ap(df: DataFrame, model: str, score: str, label: str, cluster: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
