@@ -4,6 +4,7 @@ that puts the group into one task."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,3 +38,37 @@ def running_sum(df: DataFrame, by: Sequence[str], digest: Column, value: Column,
     inner = Window.partitionBy(*keys, s).orderBy(d, *tie).rowsBetween(Window.unboundedPreceding, -1)
     summed = work.withColumn(i, F.coalesce(F.sum(v).over(inner), F.lit(0.0))).join(slices, on)
     return summed.withColumn(name, F.col(o) + F.col(i)).select(*df.columns, name)
+
+
+#: Rows of a slice of the sequence, and the most slices.
+SLICE_ROWS, MOST_SLICES = 1_000_000, 256
+
+
+def sequence_slice(df: DataFrame, seq: str, rows: int = SLICE_ROWS) -> Column:
+    """The slice of a row, 0 upwards in the order of seq, where all rows of df are
+    cut into slices of about so many rows: no group has more than that in one.
+    Store the rows with their slice before running_before is applied."""
+    n = min(MOST_SLICES, df.count() // rows + 1)
+    if n == 1:
+        return F.lit(0)
+    cuts = df.agg(F.percentile_approx(seq, [k / n for k in range(1, n)], 10 * n)).first()[0] or []
+    return reduce(Column.__add__, [(F.col(seq) > F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
+
+
+def running_before(df: DataFrame, by: Sequence[str], seq: str, slice_column: str, sums: dict[str, Column], last: dict[str, Column] | None = None) -> DataFrame:
+    """df with, for each name of sums, the sum over the earlier rows of the same
+    group (0 for none), and for each of last, the value of the row just before
+    (null for none).
+
+    Earlier is by seq, unique in a group.  Windows run inside a slice of a
+    group; sums per group and slice carry over.
+    """
+    last = last or {}
+    keys = list(by)
+    inner = Window.partitionBy(*keys, slice_column).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy(*keys, slice_column).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()], *[F.max_by(F.struct(c.alias("v")), F.col(seq)).alias(f"__l_{n}") for n, c in last.items()])
+    carried = per.select(*keys, slice_column, *[F.sum(f"__s_{n}").over(before).alias(f"__o_{n}") for n in sums], *[F.last(f"__l_{n}").over(before).alias(f"__p_{n}") for n in last])
+    out = df.withColumns({f"__i_{n}": F.sum(c).over(inner) for n, c in sums.items()} | {f"__j_{n}": F.last(F.struct(c.alias("v"))).over(inner) for n, c in last.items()}).join(carried, [*keys, slice_column])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(*df.columns, *[(zero(f"__o_{n}") + zero(f"__i_{n}")).alias(n) for n in sums], *[F.coalesce(F.col(f"__j_{n}"), F.col(f"__p_{n}"))["v"].alias(n) for n in last])

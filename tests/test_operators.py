@@ -88,6 +88,36 @@ def test_leak_of_all(spark, tmp_path):
     assert sorted(tuple(r) for r in leak_of_all(spark, str(tmp_path)).collect()) == [("change", "test", 3, 1, 0), ("message", "test", 3, 1, 0)]
 
 
+def test_history_of_a_busy_file_and_author(spark):
+    """Half of all rows are one file's and one author's; slices and blocks are
+    far smaller.  Held against a pass over the commits in their order."""
+    rnd = random.Random(3)
+    commits, files = [], []
+    for k in range(300):
+        dev = "bot" if k % 2 else f"d{rnd.randrange(40)}"
+        commits.append((f"c{k}", k, dev, 1_600_000_000 + k * 50_000 + rnd.randrange(-90_000, 90_000)))
+        for f in {"hot.lock", *(f"f{rnd.randrange(30)}" for _ in range(rnd.randrange(3)))} if k % 4 else {"hot.lock"}:
+            files.append((f"c{k}", f, f[0], f[:2], rnd.randrange(9), rnd.randrange(5)))
+    a = spark.createDataFrame(commits, "commit string, seq long, dev string, at long")
+    b = spark.createDataFrame(files, "commit string, file string, subsystem string, dir string, added long, deleted long")
+    got = {r["commit"]: r for r in history_features(a, b, slice_rows=60, block=7).collect()}
+    assert len(got) == 300
+    state = {}
+    for c, k, dev, at in commits:
+        mine = [r for r in files if r[0] == c]
+        r = got[c]
+        loc = [sum(x[4] - x[5] for x in files if x[1] == f[1] and int(x[0][1:]) < k) for f in mine]
+        authors = {d for f in mine for d, n in state.get(f[1], [])}
+        ages = [(at - state[f[1]][-1][1]) / 86400 if f[1] in state else 0.0 for f in mine]
+        before = [x for x in commits if x[1] < k and x[2] == dev]
+        assert (r["ndev"], r["nuc"], r["exp"]) == (len(authors), sum(len(state.get(f[1], [])) for f in mine), len(before))
+        assert math.isclose(r["lt"], sum(loc) / len(loc), abs_tol=1e-9) and math.isclose(r["age"], sum(ages) / len(ages), abs_tol=1e-9)
+        assert math.isclose(r["rexp"], sum(1 / ((at - x[3]) / 86400 / 365 + 1) for x in before), rel_tol=1e-9)
+        assert r["sexp"] == sum(sum(x[2] == dev and any(g[0] == x[0] and g[2] == s for g in files) for x in before) for s in {f[2] for f in mine})
+        for f in mine:
+            state.setdefault(f[1], []).append((dev, at))
+
+
 def test_history_of_four_commits(spark):
     base, day = 1_600_000_000, 86_400
     commits = spark.createDataFrame([("1", 1, "ann", base), ("2", 2, "bob", base + 2 * day), ("4", 4, "ann", base + 4 * day)], "commit string, seq long, dev string, at long")
