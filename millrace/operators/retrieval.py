@@ -7,44 +7,135 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.durable import spread
+from millrace.durable import cut, spread
 from millrace.functions.keys import salted_digest
 
 
-def unit(v: Column) -> Column:
-    """A vector of length 1; a zero vector stays."""
-    x = v.cast("array<double>")
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
-    return F.transform(x, lambda y: y / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0)))
+#: Queries and items of a block.
+QUERY_BLOCK, ITEM_BLOCK = 256, 4096
+PACK = ("id", "label", "content", "tie", "at", "index", "value")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _packed(rows: DataFrame, block: int, least: int) -> DataFrame:
+    """Rows (id, label, content, tie, index, value: a sparse vector) in blocks of
+    about so many, each one row of arrays; at makes its vectors' ends."""
+    n = max(least, -(-rows.count() // block))
+    cells = F.struct(*[c for c in PACK if c != "at"])
+    packs = rows.withColumn("b", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n))).groupBy("b").agg(F.collect_list(cells).alias("x"))
+    return packs.select(
+        "b", *[F.col(f"x.{c}").alias(c) for c in ("id", "label", "content", "tie")], F.transform("x.index", lambda v: F.size(v)).alias("at"), F.flatten("x.index").alias("index"), F.flatten("x.value").alias("value"),
+    )
 
 
-def class_neighbours(queries: DataFrame, items: DataFrame, identity: str, vector: str, label: str, k: int, salt: str, blocks: int = 16) -> DataFrame:
-    """(query, label, item, similarity, rank): the k items of each class that are
-    most similar to each query, itself left out.
+def _best_of_blocks(queries: DataFrame, items: DataFrame, k: int, kind: T.DataType, label_kind: T.DataType) -> DataFrame:
+    """(query, label, item, similarity, tie): the k best items of each class for
+    every query in every pair of a block of queries and one of items.  A pair is
+    one row; it is a product of vectors, done over Arrow batches."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    q, i = _packed(queries, QUERY_BLOCK, 1), _packed(items, ITEM_BLOCK, cores)
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = cut(q.select(*[F.col(c).alias(f"q_{c}") for c in ("b", *PACK)]))
+    pairs = i.withColumn("q_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(left, "q_b")
 
-    Similarity is the cosine, rounded to 6 places; equal ones go by SHA-256 of
-    salt:item.  Every query meets every item, in blocks of queries and items: a
-    pair of blocks meets in one task, keeps k per query and class there, and
-    only those are merged.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r].values for c in b.schema.names if c not in ("b", "q_b")}
+                out = _meet(row, k)
+                if out[0]:
+                    rows = [row["q_id"].take(pa.array(out[0])), row["label"].take(pa.array(out[1])), row["id"].take(pa.array(out[1])), pa.array(out[2]), row["tie"].take(pa.array(out[1]))]
+                    yield pa.RecordBatch.from_arrays(rows, names=["query", "label", "item", "similarity", "tie"])
+
+    shape = T.StructType([T.StructField("query", kind), T.StructField("label", label_kind), T.StructField("item", kind), T.StructField("similarity", T.DoubleType()), T.StructField("tie", T.StringType())])
+    return pairs.mapInArrow(run, shape)
+
+
+def _meet(row: dict[str, pa.Array], k: int) -> tuple[list[int], list[int], list[float]]:
+    """Positions of queries and of their best items in a pair of blocks."""
+    sizes, index, value = (row[c].to_numpy(zero_copy_only=False) for c in ("at", "index", "value"))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    q_sizes, q_index, q_value = (row[f"q_{c}"].to_numpy(zero_copy_only=False) for c in ("at", "index", "value"))
+    q_ends = np.cumsum(q_sizes)
+    width = int(max(index.max(initial=-1), q_index.max(initial=-1))) + 1
+    labels = row["label"].to_pylist()
+    classes = [np.array([n for n, y in enumerate(labels) if y == c]) for c in dict.fromkeys(labels) if c is not None]
+    ids, contents, ties = row["id"].to_pylist(), row["content"].to_pylist(), np.array(row["tie"].to_pylist())
+    out: tuple[list[int], list[int], list[float]] = ([], [], [])
+    full = np.flatnonzero(sizes)
+    for n, (qid, qcontent) in enumerate(zip(row["q_id"].to_pylist(), row["q_content"].to_pylist(), strict=True)):
+        at = slice(q_ends[n] - q_sizes[n], q_ends[n])
+        dense = np.zeros(width)
+        dense[q_index[at]] = q_value[at]
+        near = np.zeros(len(ids))
+        if full.size:
+            near[full] = np.add.reduceat(dense[index] * value, starts[full])
+        near = np.round(near, 6) + 0.0
+        barred = np.fromiter((x == qid or (qcontent is not None and c == qcontent) for x, c in zip(ids, contents, strict=True)), bool, len(ids))
+        for members in classes:
+            m = members[~barred[members]]
+            if len(m) > k:
+                m = m[near[m] >= np.partition(near[m], len(m) - k)[len(m) - k]]
+            m = m[np.lexsort((ties[m], -near[m]))[:k]]
+            out[0].extend([n] * len(m))
+            out[1].extend(m.tolist())
+            out[2].extend(near[m].tolist())
+    return out
+
+
+def neighbours_by_class(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query, label, item, similarity, rank): the k items of each class whose
+    vectors are most like the query's, the query itself and items of equal
+    content left out.
+
+    Both tables are (id, label, content, tie, index, value): index and value make
+    a sparse vector of length 1, so that similarity is the cosine, rounded to 6
+    places; equal ones go by tie.  Null labels are no class, and null contents
+    equal none.  Every query meets every item, in as many pairs of blocks as the
+    tables ask for; only k a query, class and pair are merged.
     """
-    q = queries.select(F.col(identity).alias("query"), unit(F.col(vector)).alias("qv")).withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    i = items.select(F.col(identity).alias("item"), unit(F.col(vector)).alias("iv"), F.col(label).alias("label")).withColumn("ib", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    every = F.array(*[F.lit(b) for b in range(blocks)])
-    pairs = q.withColumn("ib", F.explode(every)).join(i.withColumn("qb", F.explode(every)), ["qb", "ib"]).filter("query <> item")
-    near = pairs.select("query", "label", "ib", "item", F.round(dot(F.col("qv"), F.col("iv")), 6).alias("similarity"), salted_digest(salt, F.col("item")).alias("tie"))
-    order = [F.desc("similarity"), F.col("tie")]
-    part = near.withColumn("r", F.row_number().over(Window.partitionBy("query", "label", "ib").orderBy(*order))).filter(F.col("r") <= k)
-    best = part.withColumn("rank", F.row_number().over(Window.partitionBy("query", "label").orderBy(*order))).filter(F.col("rank") <= k)
-    return best.select("query", "label", "item", "similarity", "rank")
+    best = _best_of_blocks(queries, items, k, items.schema["id"].dataType, items.schema["label"].dataType)
+    order = Window.partitionBy("query", "label").orderBy(F.desc("similarity"), "tie")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "label", "item", "similarity", "rank")
+
+
+def class_neighbours(queries: DataFrame, items: DataFrame, identity: str, vector: str, label: str, k: int, salt: str) -> DataFrame:
+    """neighbours_by_class over dense vectors; equal similarities go by SHA-256 of
+    salt:item."""
+
+    def rows(df: DataFrame) -> DataFrame:
+        x = F.col(vector).cast("array<double>")
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
+        unit = F.transform(x, lambda y: y / F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0)))
+        steps = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+        empty = F.array()
+        return df.select(
+            F.col(identity).alias("id"), F.col(label).alias("label"), F.lit(None).cast("string").alias("content"), salted_digest(salt, F.col(identity)).alias("tie"),
+            F.coalesce(steps, empty.cast("array<int>")).alias("index"), F.coalesce(unit, empty.cast("array<double>")).alias("value"),
+        )
+
+    return neighbours_by_class(rows(queries), rows(items), k)
+
+
+def text_neighbours(queries: Column, df: DataFrame, identity: str, text: str, label: str, k: int, salt: str, fit: Column | None = None) -> DataFrame:
+    """neighbours_by_class over character n-gram tf-idf (tfidf), for the rows of
+    df where queries holds, against all; rows of the same text are left out as
+    copies of the query."""
+    terms = _weights(df, identity, text, fit)
+    vectors = terms.groupBy(identity).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("i"), F.col("weight").alias("w")))).alias("v"))
+    rows = df.select(F.col(identity), F.col(label).alias("label"), F.sha2(F.col(text), 256).alias("content"), queries.alias("asks")).join(vectors, identity, "left")
+    none = lambda kind: F.array().cast(kind)
+    rows = cut(rows.select(
+        F.col(identity).alias("id"), "label", "content", salted_digest(salt, F.col(identity)).alias("tie"),
+        F.coalesce(F.col("v.i"), none("array<int>")).alias("index"), F.coalesce(F.col("v.w"), none("array<double>")).alias("value"), "asks",
+    ))
+    return neighbours_by_class(rows.filter("asks").drop("asks"), rows.drop("asks"), k)
 
 
 def char_ngrams(text: str, low: int = 3, high: int = 5) -> Counter[str]:
@@ -72,6 +163,11 @@ def tfidf(df: DataFrame, identity: str, text: str, fit: Column | None = None, lo
     vocabulary, at most max_features terms, is then broadcast and each row is
     weighed where it lies.
     """
+    return _weights(df, identity, text, fit, low, high, min_df, max_features).select(identity, "term", "weight")
+
+
+def _weights(df: DataFrame, identity: str, text: str, fit: Column | None = None, low: int = 3, high: int = 5, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
+    """tfidf with the place of each term in the vocabulary (place)."""
     fit = F.lit(True) if fit is None else fit
     spark = df.sparkSession
     rows = df.select(F.col(identity).alias("id"), fit.alias("fit"), F.col(text).cast("string").alias("text"))
@@ -98,19 +194,20 @@ def tfidf(df: DataFrame, identity: str, text: str, fit: Column | None = None, lo
     counts = rows.filter("fit").select("text").mapInArrow(count, "term string, df bigint, all bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all"))
     n = rows.filter("fit").count()
     kept = counts.filter(F.col("df") >= min_df).orderBy(F.desc("all"), "term").limit(max_features).collect()
-    idf = spark.sparkContext.broadcast({r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in kept})
-    kind = T.StructType([T.StructField(identity, rows.schema["id"].dataType), T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    idf = spark.sparkContext.broadcast({r["term"]: (math.log((1 + n) / (1 + r["df"])) + 1, place) for place, r in enumerate(kept)})
+    kind = T.StructType([T.StructField(identity, rows.schema["id"].dataType), T.StructField("term", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("weight", T.DoubleType())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = idf.value
         for b in batches:
-            at, terms, weights = [], [], []
+            at, terms, places, weights = [], [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                w = {g: c * known[g] for g, c in char_ngrams(t or "", low, high).items() if g in known}
+                w = {g: c * known[g][0] for g, c in char_ngrams(t or "", low, high).items() if g in known}
                 norm = math.sqrt(math.fsum(x * x for x in w.values()))
                 at += [k] * len(w)
                 terms += w.keys()
+                places += [known[g][1] for g in w]
                 weights += [x / norm for x in w.values()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(weights, pa.float64())], names=[identity, "term", "weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(terms, pa.string()), pa.array(places, pa.int32()), pa.array(weights, pa.float64())], names=[identity, "term", "place", "weight"])
 
     return rows.select("id", "text").mapInArrow(weigh, kind)

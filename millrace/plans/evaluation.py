@@ -358,6 +358,28 @@ SELECT k.change_id, n_add::INT AS n_add, n_del::INT AS n_del, ka::INT AS kept_ad
 """
 
 
+def document_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The two documents of each source most like every hundredth document, by
+    character n-grams, against all; copies of its text left out."""
+    docs = table(spark, d, "documents").select("doc_id", "text", id_key(F.col("source")).alias("source"))
+    got = Q.text_neighbours(F.col("doc_id") % 100 == 0, docs, "doc_id", "text", "source", 2, "near")
+    return got.select("query", "label", "item", "similarity", F.col("rank").cast("bigint").alias("rank"))
+
+
+DOCUMENT_NEIGHBOURS = r"""
+WITH m AS (SELECT doc_id AS id, text, nullif(lower(trim(source)), '') AS label, regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2,}', ' ', 'g') AS t FROM documents),
+g AS (SELECT id, unnest(flatten([list_transform(range(1, greatest(length(t) - k + 2, 1)), lambda p: substring(t, p, k)) for k in [3, 4, 5]])) AS term FROM m WHERE t IS NOT NULL),
+f AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL),
+v AS (SELECT term, count(*) AS df, sum(tf) AS c FROM f GROUP BY 1 HAVING count(*) >= 2 ORDER BY c DESC, term LIMIT 50000),
+w AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM m)) / (1 + df)::DOUBLE) + 1) AS w FROM f JOIN v USING (term)),
+n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1),
+u AS (SELECT id, term, w / n AS w FROM w JOIN n USING (id)),
+d AS (SELECT a.id AS query, b.id AS item, sum(a.w * b.w) AS x FROM u a JOIN u b USING (term) WHERE a.id % 100 = 0 GROUP BY 1, 2),
+p AS (SELECT a.id AS query, b.label, b.id AS item, round(coalesce(x, 0), 6) AS similarity FROM m a JOIN m b ON a.id % 100 = 0 AND a.id <> b.id AND b.label IS NOT NULL AND (a.text IS NULL OR b.text IS NULL OR a.text <> b.text) LEFT JOIN d ON d.query = a.id AND d.item = b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, sha256('near:' || item::VARCHAR)) AS rank FROM p) SELECT * FROM r WHERE rank <= 2
+"""
+
+
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
     """Character n-gram weights of the messages; the vocabulary is that of the training changes."""
     s = table(spark, d, "splits").filter((id_key(F.col("split_version")) == "upstream-provided") & (id_key(F.col("split")) == "train")).select(id_key(F.col("change_id")).alias("change_id")).distinct().withColumn("fit", F.lit(True))
@@ -381,7 +403,7 @@ QUERIES = {
     "history_features": history, "eligibility_waterfall": waterfall, "deployment_scores": deployment_scores, "deployment_metrics": deployment_metrics, "deployment_months": deployment_months, "size_bias": size_bias,
     "deployment_scores_all": deployment_scores_all, "deployment_metrics_all": deployment_metrics_all, "size_bias_all": size_bias_all,
     "success_subset": success_subset, "coverage_table": coverage_table, "common_metrics": common_metrics, "replicate_mean_sd": replicates, "best_seed": best_seed, "bootstrap_ap": bootstrap, "bootstrap_paired": paired_bootstrap, "bootstrap_weeks": week_bootstrap, "bootstrap_rows": row_bootstrap, "bootstrap_seeds": seed_paired, "iso_week_clusters": iso_weeks,
-    "scaler_params": scaler, "linear_score": linear, "logistic_score": logistic, "class_neighbours": neighbours, "tokenize_text": tokens, "clean_message": messages, "evidence_allocation": evidence, "char_tfidf": tfidf,
+    "scaler_params": scaler, "linear_score": linear, "logistic_score": logistic, "class_neighbours": neighbours, "tokenize_text": tokens, "clean_message": messages, "evidence_allocation": evidence, "char_tfidf": tfidf, "document_neighbours": document_neighbours,
 }
 _AP = "round(sum(tp / nullif(p, 0) * ctp / cn), 6) AS ap, round(sum(tp * ((t - p) - (cn - ctp) + (n - tp) / 2) / nullif(p * (t - p), 0)), 6) AS auc"
 
@@ -412,5 +434,5 @@ ORACLES = {
     "linear_score": LINEAR, "class_neighbours": NEIGHBOURS,
     "tokenize_text": "SELECT DISTINCT change_id, line_order, " + _tokens_sql("text") + r" AS tokens, CASE WHEN file_id IS NOT NULL THEN lower(regexp_extract(regexp_extract(file_id, '[^/]*$'), '^.+(\.[^.]+)$', 1)) END AS ext FROM edits",
     "clean_message": r"WITH m AS (SELECT change_id, message, array_to_string(list_filter(string_split(coalesce(message, ''), chr(10)), lambda x: NOT starts_with(x, 'git-svn-id:')), chr(10)) AS t FROM changes), k AS (SELECT *, trim(regexp_replace(lower(message), '" + SPACE + r"', ' ', 'g'), ' ') AS q FROM m) SELECT change_id, " + _tokens_sql("t") + " AS message, coalesce(regexp_matches(message, '(?i)fix|bug'), false) AS fix, CASE WHEN length(q) >= 20 THEN sha256(q) END AS key FROM k",
-    "evidence_allocation": EVIDENCE, "char_tfidf": TFIDF, **BOOTSTRAPS,
+    "evidence_allocation": EVIDENCE, "char_tfidf": TFIDF, "document_neighbours": DOCUMENT_NEIGHBOURS, **BOOTSTRAPS,
 }
