@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,17 @@ def allocate(added: Column, deleted: Column, budget: Column) -> Column:
     budget, the deleted ones what these leave, and the added ones then what
     those leave.
     """
-    a, d = total(added), total(deleted)
-    part = F.floor(budget * a / F.greatest(a + d, F.lit(1))).cast("bigint")
-    first = fitting_prefix(added, part)
-    kd = fitting_prefix(deleted, budget - total(F.slice(added, 1, first)))
-    ka = fitting_prefix(added, budget - total(F.slice(deleted, 1, kd)))
-    fits = a + d <= budget
-    return F.struct(F.when(fits, F.size(added)).otherwise(ka).alias("n_add"), F.when(fits, F.size(deleted)).otherwise(kd).alias("n_del"))
+    sums = F.struct(total(added).alias("a"), total(deleted).alias("d"))
+
+    def share(t: Column) -> Column:
+        part = F.floor(budget * t["a"] / F.greatest(t["a"] + t["d"], F.lit(1))).cast("bigint")
+        left = budget - total(F.slice(added, 1, fitting_prefix(added, part)))
+        kept = lambda kd: F.struct(fitting_prefix(added, budget - total(F.slice(deleted, 1, kd))).alias("n_add"), kd.alias("n_del"))
+        return F.when(t["a"] + t["d"] <= budget, F.struct(F.size(added).alias("n_add"), F.size(deleted).alias("n_del"))).otherwise(once(fitting_prefix(deleted, left), kept))
+
+    return once(sums, share)
+
+
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often it is used."""
+    return F.transform(F.array(x), use)[0]
