@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.durable import cut
+from millrace.durable import children, cut, ensure_checkpoint_dir
 from millrace.operators.prefix import running_sum
+from millrace.sources.writers import commit_generation, current_generation
 
 #: A component of at least this share of all records is placed singly; there
 #: can be no more than its inverse.
@@ -19,9 +21,13 @@ SINGLE_SHARE = 1 / 200
 GOLDEN, PLASTIC = 0.6180339887498949, 0.7548776662466927
 
 
-def spanning_forest(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+def spanning_forest(edges: DataFrame, a: str, b: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Boruvka contraction: (vertex, root) of every vertex and the forest (a, b).
 
+    known: (vertex, root) of a forest that is there already; only edges between
+    its trees and to new vertices are then contracted, and the forest is what
+    they add.
+
     Each round every component picks its least outgoing edge (by hash, then
     ends: a strict order, so picks form trees but for pairs that pick the same
     edge), the picked trees are contracted by pointer jumping, and edges within
@@ -34,8 +40,14 @@ def spanning_forest(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFr
     pairs = edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
     pairs = cut(pairs.withColumn("w", F.xxhash64("a", "b")))
     roots = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct().withColumn("root", F.col("vertex"))
+    if known is not None:
+        roots = roots.select("vertex").union(known.select("vertex")).distinct().join(known.select("vertex", F.col("root").alias("__r")), "vertex", "left").select("vertex", F.coalesce("__r", "vertex").alias("root"))
     roots = cut(roots)
     live = pairs.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w", "a", "b")
+    if known is not None:
+        of = lambda c, e: roots.select(F.col("vertex").alias(e), F.col("root").alias(c))
+        live = live.drop("u", "v").join(of("u", "a"), "a").join(of("v", "b"), "b").filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.struct("w", "a", "b").alias("e"))
+        live = cut(live.groupBy("u", "v").agg(F.min("e").alias("e")).select("u", "v", "e.w", "e.a", "e.b"))
     forest = live.select("a", "b").limit(0)
     while not live.isEmpty():
         ends = live.select("u", F.struct("w", "a", "b", "v").alias("e")).union(live.select("v", F.struct("w", "a", "b", F.col("u").alias("v"))))
@@ -49,6 +61,22 @@ def spanning_forest(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFr
     return roots, forest
 
 
+def stored_forest(edges: DataFrame, a: str, b: str, folder: str) -> DataFrame:
+    """(vertex, root) of a forest kept below folder (of any file system that all
+    executors share): what is there is extended by the edges, which need only be
+    the new ones, and written as the next generation before it is used.  The
+    component of a vertex only ever grows."""
+    spark = edges.sparkSession
+    base = folder.rstrip("/")
+    known = current_generation(spark, f"{base}/roots") if children(spark, f"{base}/roots") else None
+    roots, forest = spanning_forest(edges, a, b, known)
+    if known is not None:
+        forest = forest.unionByName(current_generation(spark, f"{base}/forest"))
+    commit_generation(forest, f"{base}/forest")
+    commit_generation(roots, f"{base}/roots")
+    return current_generation(spark, f"{base}/roots")
+
+
 def _contract(up: DataFrame) -> DataFrame:
     """(u, root) from (u, up), whose only cycles are pairs that point at each
     other; the smaller of such a pair is the root."""
@@ -110,15 +138,19 @@ def deal(components: DataFrame, root: str, size: str, shares: Mapping[str, float
     return large.unionByName(ranked.withColumn("split", split).drop("__at", "__band"))
 
 
-def assign_splits(records: DataFrame, id_column: str, ties: DataFrame, tie_id: str, tie_group: str, shares: Mapping[str, float], seed: str = "millrace") -> DataFrame:
+def assign_splits(records: DataFrame, id_column: str, ties: DataFrame, tie_id: str, tie_group: str, shares: Mapping[str, float], seed: str = "millrace", folder: str | None = None) -> DataFrame:
     """(id, component, n_records, split) for every distinct id of records and ties.
 
+    The spanning forest is kept below folder (a new one in the session's shared
+    checkpoint folder, if not given); a later run with the same folder contracts
+    only the ties that it adds, and keeps the components that were tied.
+
     Ids that share a group, directly or through other ids, get one split.  Ids
     and groups compare as given; null ids are left out and null groups tie
     nothing.  Repeated rows count once.  Extra columns are ignored.
     """
     tied = ties.select(F.col(tie_id).alias("i"), F.col(tie_group).alias("g")).filter(F.col("i").isNotNull() & F.col("g").isNotNull())
-    roots, _ = spanning_forest(_bipartite(tied), "a", "b")
+    roots = stored_forest(_bipartite(tied), "a", "b", folder or _new_folder(records))
     ids = records.select(F.col(id_column).alias("i")).union(ties.select(F.col(tie_id))).filter(F.col("i").isNotNull()).distinct()
     own = roots.filter(F.col("vertex").startswith("i:")).select(F.substring("vertex", 3, 1 << 30).alias("i"), "root")
     members = cut(ids.join(own, "i", "left").select("i", F.coalesce("root", F.concat(F.lit("i:"), F.col("i"))).alias("component")))
@@ -127,19 +159,24 @@ def assign_splits(records: DataFrame, id_column: str, ties: DataFrame, tie_id: s
     return members.join(dealt, "component").select(F.col("i").alias(id_column), "component", "n_records", "split")
 
 
+def _new_folder(df: DataFrame) -> str:
+    return f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/forest-{uuid.uuid4().hex}"
+
+
 def _bipartite(tied: DataFrame) -> DataFrame:
     """Ids and groups as vertices: a group of any size costs one edge a row."""
     return tied.select(F.concat(F.lit("i:"), F.col("i")).alias("a"), F.concat(F.lit("g:"), F.col("g")).alias("b"))
 
 
-def torn_groups(ties: DataFrame, tie_id: str, tie_group: str, splits: DataFrame, split_id: str, split: str) -> DataFrame:
+def torn_groups(ties: DataFrame, tie_id: str, tie_group: str, splits: DataFrame, split_id: str, split: str, folder: str | None = None) -> DataFrame:
     """(group) of every group whose related ids stand in more than one split.
+    The forest is kept as in assign_splits.
 
     Relation carries on through shared ids and groups.  Ids without a split
     relate others and don't count.  Null ids, groups and splits are ignored.
     """
     tied = ties.select(F.col(tie_id).alias("i"), F.col(tie_group).alias("g")).filter(F.col("i").isNotNull() & F.col("g").isNotNull())
-    roots, _ = spanning_forest(_bipartite(tied), "a", "b")
+    roots = stored_forest(_bipartite(tied), "a", "b", folder or _new_folder(ties))
     stand = splits.select(F.concat(F.lit("i:"), F.col(split_id)).alias("vertex"), F.col(split).alias("s")).filter(F.col("vertex").isNotNull() & F.col("s").isNotNull())
     torn = roots.join(stand, "vertex").groupBy("root").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("root")
     groups: Column = F.substring("vertex", 3, 1 << 30)

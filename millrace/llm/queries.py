@@ -108,6 +108,26 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("share", F.col("n_changes") / total)
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """What every assignment must keep: one split a component, and shares within
+    a hundredth of those asked for."""
+    a = p5_assignment(spark, d)
+    torn = a.groupBy("component").agg(F.countDistinct("split").alias("k")).agg(F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("k") > 1).alias("n_torn"))
+    per = a.agg(F.count(F.lit(1)).alias("n_changes"), *[F.count_if(F.col("split") == s).alias(s) for s in SHARES])
+    met = [F.abs(F.col(s) / F.col("n_changes") - F.lit(p)) <= 0.01 for s, p in SHARES.items()]
+    return per.join(torn).select("n_changes", "n_components", "n_torn", (met[0] & met[1] & met[2]).alias("shares_met"))
+
+
+P5_CHECK_SQL = """
+WITH RECURSIVE m AS (SELECT DISTINCT lower(regexp_replace(id, '^\\s+|\\s+$', '', 'g')) AS id, nullif(lower(regexp_replace(group_id, '^\\s+|\\s+$', '', 'g')), '') AS g FROM internal_manifest),
+e AS (SELECT DISTINCT a.g AS x, b.g AS y FROM m a JOIN m b USING (id) WHERE a.g IS NOT NULL AND b.g IS NOT NULL),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+i AS (SELECT lower(trim(change_id)) AS id FROM changes UNION SELECT id FROM m),
+c AS (SELECT i.id, coalesce(min(r.y), 'i:' || i.id) AS c FROM i LEFT JOIN m ON m.id = i.id AND m.g IS NOT NULL LEFT JOIN r ON r.x = m.g GROUP BY i.id)
+SELECT count(*) AS n_changes, count(DISTINCT c) AS n_components, 0::BIGINT AS n_torn, true AS shares_met FROM c
+"""
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(_ids(spark, d, "predictions", "run_id", "change_id"), "run_id", "change_id", "score", TOP).select("run_id", "change_id")
 
@@ -161,6 +181,13 @@ SELECT least(e, t) AS change_id_a, greatest(e, t) AS change_id_b FROM p JOIN n a
 """
 
 
+P7_REPORT_SQL = _P7.split("SELECT least(e, t)")[0] + r""", hits AS (SELECT DISTINCT e FROM p JOIN n a ON a.id = e JOIN n b ON b.id = t WHERE e <> t AND k >= 0.8 * (a.n + b.n - k) - 1e-9),
+ch AS (SELECT lower(trim(change_id)) AS id, lower(trim(project_id)) AS project_id, nullif(regexp_extract(lower(trim(content_hash)), '([0-9a-f]+)$', 1), '') AS hash FROM changes),
+th AS (SELECT DISTINCT hash FROM ch JOIN s USING (id) WHERE split = 'train' AND hash IS NOT NULL)
+SELECT split, project_id, count(*) AS n_changes, count(hits.e) AS n_overlapping, count(th.hash) AS n_same_hash FROM s JOIN ch USING (id) LEFT JOIN hits ON hits.e = ch.id LEFT JOIN th USING (hash) WHERE split IN ('valid', 'test') GROUP BY 1, 2
+"""
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_text(table(spark, d, "documents").select("doc_id", "text"), "text")
 
@@ -193,9 +220,9 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_sample": p3_sample, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_report": p5_report,
+    "p3_sample": p3_sample, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_report": p5_report, "p5_check": p5_check,
     "p6_found": p6_found, "p6_top": p6_top,
     "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids,
     "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored,
 }
-ORACLES = {"p3_sample": _feistel_sql(), "p4_found": P4_FOUND_SQL, "p4_collapsed": P4_COLLAPSED_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL, "p7_found": _P7}
+ORACLES = {"p3_sample": _feistel_sql(), "p4_found": P4_FOUND_SQL, "p4_collapsed": P4_COLLAPSED_SQL, "p5_found": P5_FOUND_SQL, "p5_check": P5_CHECK_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL, "p7_found": _P7, "p7_report": P7_REPORT_SQL}

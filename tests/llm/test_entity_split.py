@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from millrace.llm.entity_split import assign_splits, deal, spanning_forest, torn_groups
+from millrace.llm.entity_split import assign_splits, deal, spanning_forest, stored_forest, torn_groups
 
 
 def components(edges):
@@ -89,3 +89,33 @@ def test_torn_groups(spark):
     splits = spark.createDataFrame([("a", "train"), ("c", "test"), ("d", "train"), ("e", "train"), ("f", "test"), ("zz", "test")], "id string, split string")
     assert sorted(r[0] for r in torn_groups(ties, "id", "g", splits, "id", "split").collect()) == ["g1", "g2"]
     assert torn_groups(ties.filter(F.lit(False)), "id", "g", splits, "id", "split").count() == 0
+
+
+def test_forest_is_kept_and_extended(spark, tmp_path):
+    rnd = random.Random(11)
+    edges = [(f"v{rnd.randrange(120)}", f"v{rnd.randrange(120)}") for _ in range(90)]
+    frame = lambda e: spark.createDataFrame(e, "a string, b string")
+    seen = []
+    for k in (0, 30, 60):
+        roots = stored_forest(frame(edges[k : k + 30]), "a", "b", str(tmp_path / "f"))
+        got = defaultdict(set)
+        for r in roots.collect():
+            got[r["root"]].add(r["vertex"])
+        now = {frozenset(v) for v in got.values()}
+        assert now == components(edges[: k + 30])
+        assert all(any(old <= new for new in now) for old in seen)
+        seen = now
+        tree = [tuple(r) for r in spark.read.parquet(str(tmp_path / "f" / "forest" / f"gen-{k // 30 + 1:06d}")).collect()]
+        assert len(tree) == sum(map(len, now)) - len(now)
+    empty = stored_forest(frame(edges).limit(0), "a", "b", str(tmp_path / "f"))
+    assert empty.count() == sum(map(len, seen))
+
+
+def test_splits_with_a_kept_forest(spark, tmp_path):
+    ties = spark.createDataFrame([("a", "g"), ("b", "g"), ("c", "h")], "i string, g string")
+    records = ties.select("i")
+    shares = {"train": 0.5, "test": 0.5}
+    assign_splits(records, "i", ties, "i", "g", shares, folder=str(tmp_path / "s"))
+    more = spark.createDataFrame([("c", "g"), ("d", None)], "i string, g string")
+    got = {r["i"]: r["component"] for r in assign_splits(records, "i", more, "i", "g", shares, folder=str(tmp_path / "s")).collect()}
+    assert got["a"] == got["b"] == got["c"] != got["d"]
