@@ -4,12 +4,13 @@ Numbers: a mixed model, value = mean + sum of crossed random effects (group,
 period, ...), each effect shrunk by residual variance over effect variance.
 It is fitted on sufficient statistics per combination of levels, so the data
 is aggregated once whatever the number of fields and rounds.
-Categories: a multinomial model, log-linear in the same effects, with counts
-shrunk towards the overall shares.
+Categories: a multinomial model, log-linear in the same effects, fitted on the
+counts per combination of levels with effects shrunk towards zero.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -145,16 +146,24 @@ def fill_numeric(df: DataFrame, fields: Sequence[NumericField], factors: Sequenc
     return out.select(*columns, *marks)
 
 
-def fill_category(df: DataFrame, name: str, factors: Sequence[str], strength: float = 5.0, suffix: str = "_filled") -> DataFrame:
+#: Most categories of a column: each level of a factor holds a number for each.
+MOST_CATEGORIES = 2_000
+
+
+def fill_category(df: DataFrame, name: str, factors: Sequence[str], strength: float = 1.0, rounds: int = 6, suffix: str = "_filled") -> DataFrame:
     """df with every null or blank value of a text column replaced by the
     likeliest category, and a mark <name><suffix>.
 
-    Categories compare without case and surrounding space and are filled in
-    that form; present values stay as they are.  Score of category c for a row:
-    log share(c) + sum over factors of log((n(level, c) / share(c) + strength)
-    / (n(level) + strength)); categories seen at none of the row's levels
-    compete through the most frequent one.  Ties go to the smaller category.
-    Without any present value the column stays null and is still marked.
+    The model is multinomial: the log odds of a category are its overall log
+    share plus one effect per factor level, each effect drawn to zero with
+    precision strength.  It is fitted jointly, by damped Newton steps for one
+    factor after the other, on the counts per combination of levels, so
+    correlated factors don't count twice.  Categories compare without case and
+    surrounding space and are filled in that form; present values stay as they
+    are.  Levels may be null, and a level without a present value has no
+    effect.  Ties (to 6 places) go to the smaller category.  Without any present
+    value the column stays null and is still marked.  More than MOST_CATEGORIES
+    categories are an error.
     """
     from millrace.functions.keys import id_key
 
@@ -162,28 +171,51 @@ def fill_category(df: DataFrame, name: str, factors: Sequence[str], strength: fl
     for f in factors:
         keys.append(fresh(names + keys, f"__level_{f}"))
         work = work.withColumn(keys[-1], F.coalesce(F.col(f).cast("string"), F.lit("\u0000")))
-    cat = fresh(names + keys, "__category")
+    cat, mark = fresh(names + keys, "__category"), fresh(names, name + suffix)
     work = work.withColumn(cat, id_key(F.col(name)))
     counts = cut(work.filter(F.col(cat).isNotNull()).groupBy(*keys, cat).agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    mark = fresh(names, name + suffix)
-    if not total:
+    shares = [(r[cat], r["n"]) for r in counts.groupBy(cat).agg(F.sum("n").alias("n")).orderBy(cat).limit(MOST_CATEGORIES + 1).collect()]
+    if len(shares) > MOST_CATEGORIES:
+        raise ValueError(f"{name} has more than {MOST_CATEGORIES} categories")
+    if not shares:
         return work.select(*names, F.col(cat).isNull().alias(mark))
-    share = counts.groupBy(cat).agg((F.sum("n") / F.lit(float(total))).alias("share"))
-    top = share.orderBy(F.desc("share"), cat).first()
-    wanted = work.filter(F.col(cat).isNull()).select(*keys).distinct()
-    combos = wanted.select(*keys, F.lit(top[cat]).alias(cat))
-    for key in keys:
-        seen = counts.select(key, cat).distinct()
-        combos = combos.unionByName(wanted.join(seen, key).select(*keys, cat))
-    combos = combos.distinct().join(share, cat)
-    score = F.log("share")
-    for j, key in enumerate(keys):
-        per = counts.groupBy(key, cat).agg(F.sum("n").alias(f"c{j}"))
-        level = counts.groupBy(key).agg(F.sum("n").alias(f"l{j}"))
-        combos = combos.join(per, [key, cat], "left").join(level, key, "left")
-        score = score + F.log((F.coalesce(F.col(f"c{j}"), F.lit(0)) / F.col("share") + F.lit(strength)) / (F.coalesce(F.col(f"l{j}"), F.lit(0)) + F.lit(strength)))
-    best = combos.groupBy(*keys).agg(F.min_by(cat, F.struct(-F.round(score, 9), F.col(cat))).alias("__best"))
-    joined = work.join(best, keys, "left") if keys else work.crossJoin(best)
+    kinds = F.array(*[F.lit(c) for c, _ in shares])
+    whole = sum(n for _, n in shares)
+    base = F.array(*[F.lit(math.log(n / whole)) for _, n in shares])
+    zero = F.array_repeat(F.lit(0.0), len(shares))
+    places = counts.select(*keys, F.array_position(kinds, F.col(cat)).alias("place"), "n").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("by"))
+    cells = places.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(len(shares))), lambda k: F.coalesce(F.try_element_at("by", k.cast("bigint")), F.lit(0)).cast("double")).alias("own"))
+    cells = cut(cells)
+    effects: dict[str, DataFrame] = {}
+
+    def odds(rows: DataFrame) -> tuple[DataFrame, Column]:
+        total = base
+        for key in keys:
+            if key in effects:
+                rows = rows.join(effects[key].select(key, F.col("effect").alias(f"{key}:e")), key, "left")
+                total = F.zip_with(total, F.coalesce(F.col(f"{key}:e"), zero), lambda a, b: a + b)
+        return rows, total
+
+    for _ in range(rounds if len(keys) > 1 else 2 * rounds):
+        for key in keys:
+            rows, total = odds(cells)
+            rows = rows.withColumn("eta", total)
+            rows = rows.withColumn("e", F.transform("eta", lambda x: F.exp(x)))
+            rows = rows.withColumn("m", F.aggregate("own", F.lit(0.0), lambda a, x: a + x) / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).withColumn("t", F.aggregate("own", F.lit(0.0), lambda a, x: a + x))
+            flat = rows.select(key, "m", "t", F.posexplode(F.arrays_zip("own", "e")).alias("c", "x")).select(key, "c", F.col("x.own").alias("own"), (F.col("m") * F.col("x.e")).alias("fit"), "t")
+            bend = lambda x: F.sum(F.col(x) * (1 - F.col(x) / F.nullif(F.col("t"), F.lit(0.0))))
+            sums = flat.groupBy(key, "c").agg(F.sum(F.col("own") - F.col("fit")).alias("g"), F.greatest(bend("own"), bend("fit")).alias("h"))
+            if key in effects:
+                sums = sums.join(effects[key].select(key, F.posexplode("effect").alias("c", "u")), [key, "c"])
+            else:
+                sums = sums.withColumn("u", F.lit(0.0))
+            step = (F.col("g") - F.lit(strength) * F.col("u")) / (2 * F.coalesce("h", F.lit(0.0)) + F.lit(strength))  # twice, as all categories move at once
+            new = F.col("u") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), step))  # so exp can't overflow
+            effects[key] = cut(sums.select(key, F.struct("c", new.alias("u")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x")).select(key, F.col("x.u").alias("effect")))
+
+    rows, total = odds(work.filter(F.col(cat).isNull()).select(*keys).distinct())
+    ranked = F.transform(F.arrays_zip(total.alias("s"), kinds.alias("c")), lambda x: F.struct((-F.round(x["s"], 6)).alias("s"), x["c"].alias("c")))
+    best = rows.select(*keys, F.array_min(ranked)["c"].alias("__best"))
+    joined = work.join(best, keys, "left") if keys else work.crossJoin(F.broadcast(best))
     columns = [(F.when(F.col(cat).isNull(), F.col("__best")).otherwise(F.col(c)).alias(c) if c.lower() == name.lower() else F.col(c)) for c in names]
     return joined.select(*columns, F.col(cat).isNull().alias(mark))

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.impute import NumericField, fill_category, fill_numeric
@@ -63,6 +64,24 @@ def test_categories(spark):
     assert [(r["c"], r["c_filled"]) for r in fill_category(void, "c", ["g"]).collect()] == [(None, True)]
 
 
+def test_correlated_factors_count_once(spark):
+    """Month and group say the same: 45 of 100 there are b, 5 of 900 elsewhere."""
+    rows = [(f"h{k}", "g", "t", "b" if k < 45 else "a") for k in range(100)] + [(f"r{k}", f"g{k % 7}", f"t{k % 7}", "b" if k < 5 else "a") for k in range(900)]
+    rows += [("x", "g", "t", None), ("y", None, "t9", None)]
+    got = {r["id"]: r["c"] for r in fill_category(spark.createDataFrame(rows, "id string, g string, t string, c string"), "c", ["g", "t"]).collect()}
+    assert (got["x"], got["y"]) == ("a", "a")
+    rows = [r if r[3] != "a" or r[1] != "g" or int(r[0][1:]) % 3 else (*r[:3], "b") for r in rows]
+    got = {r["id"]: r["c"] for r in fill_category(spark.createDataFrame(rows, "id string, g string, t string, c string"), "c", ["g", "t"]).collect()}
+    assert got["x"] == "b" and got["y"] == "a"
+
+
+def test_many_categories_are_an_error(spark):
+    df = spark.range(2101).select(F.col("id").cast("string").alias("c"), F.lit("g").alias("g"))
+    with pytest.raises(ValueError, match="categories"):
+        fill_category(df, "c", ["g"])
+    assert fill_category(df.limit(0), "c", ["g"]).count() == 0
+
+
 def test_held_out_values_are_predicted_better_than_by_the_mean(spark, medium):
     from millrace.plans.tables import table
 
