@@ -20,7 +20,7 @@ from millrace.durable import cut
 from millrace.functions.keys import id_key, salted_digest
 from millrace.operators.prefix import running_sum
 
-#: The flow is solved for at most so many patterns and sources.
+#: The flow is solved for at most so many patterns, and for no more sources.
 MOST = 10_000
 SEPARATOR = "\u0001"
 
@@ -110,7 +110,9 @@ class Mix:
     source that has tokens reaches its share.  Sources without tokens reach 0,
     and the others share the whole in proportion.  A given total that can't be
     reached is filled as far as repeats allow, and the report shows it.  A share
-    is met to within half a document at either end of its run.  Sources compare
+    is met to within half a document at either end of its run.  Beyond most
+    membership patterns the heaviest are kept as they are, and a document of
+    another counts for one of its sources, chosen by a hash of its text.  Sources compare
     without case and surrounding space.  Documents without a source, of a
     source without a target, or without tokens are never chosen.  Target rows
     of the same source are added up (the largest max_repeats holds); a null
@@ -118,11 +120,11 @@ class Mix:
     with the smallest id is used.
     """
 
-    def __init__(self, documents: DataFrame, id_column: str, targets: DataFrame, total: float | None = None, seed: str = "millrace"):
+    def __init__(self, documents: DataFrame, id_column: str, targets: DataFrame, total: float | None = None, seed: str = "millrace", most: int = MOST):
         spark = documents.sparkSession
         rows = targets.select(id_key(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(1)).alias("r"))
         wanted = rows.filter("source is not null").groupBy("source").agg(F.sum("w").alias("w"), F.max("r").alias("r")).orderBy("source").limit(MOST + 1).collect()
-        if len(wanted) > MOST:
+        if len(wanted) > most:
             raise ValueError(f"more than {MOST} target sources")
         self.shares = {r["source"]: float(r["w"]) for r in wanted}
         repeats = {r["source"]: max(0, int(r["r"])) for r in wanted}
@@ -133,9 +135,13 @@ class Mix:
         held = docs.groupBy("text", "source").agg(F.min("id").alias("id"), F.max("tokens").alias("tokens"))
         units = held.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("source", "id"))).alias("in"), F.max("tokens").alias("tokens"))
         units = cut(units.select("text", "tokens", "in", F.array_join(F.col("in.source"), SEPARATOR).alias("pattern")))
-        patterns = units.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST + 1).collect()
-        if len(patterns) > MOST:
-            raise ValueError(f"more than {MOST} membership patterns")
+        heavy = units.groupBy("pattern").agg(F.sum("tokens").alias("tokens"))
+        patterns = heavy.limit(most + 1).collect()
+        if len(patterns) > most:
+            kept = heavy.orderBy(F.desc("tokens"), "pattern").limit(max(most - len(wanted), 0)).select(F.col("pattern").alias("kept"))
+            one = F.get(F.col("in.source"), F.pmod(F.xxhash64("text"), F.size("in")).cast("int"))
+            units = cut(units.join(F.broadcast(kept), F.col("pattern") == F.col("kept"), "left").withColumn("pattern", F.coalesce("kept", one)).drop("kept"))
+            patterns = units.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()
         supply = {r["pattern"]: int(r["tokens"]) for r in sorted(patterns, key=lambda r: r["pattern"])}
         member = {p: p.split(SEPARATOR) for p in supply}
         available = {s: w for s, w in self.shares.items() if repeats[s] > 0 and any(s in m for m in member.values())}

@@ -206,6 +206,22 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """What every mix must keep: uses within the repeats of a source, sources that
+    have a target, one row a document and source, and targets without documents."""
+    m = _mix(spark, d)
+    caps = table(spark, d, "mix_targets").groupBy(id_key(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("cap"))
+    rows = m.selection.join(F.broadcast(caps), "source", "left")
+    over = rows.agg(F.count_if(F.col("uses") > F.col("cap")).alias("n_over_cap"), F.count_if(F.col("cap").isNull()).alias("n_foreign"), (F.count(F.lit(1)) - F.countDistinct("doc_id", "source")).alias("n_repeated"))
+    return over.join(m.report.agg(F.count_if(F.col("available_tokens") == 0).alias("n_idle_targets")))
+
+
+P9_CHECK_SQL = """
+WITH t AS (SELECT lower(trim(source)) AS source FROM mix_targets GROUP BY 1), d AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE text <> '')
+SELECT 0::BIGINT AS n_over_cap, 0::BIGINT AS n_foreign, 0::BIGINT AS n_repeated, (SELECT count(*) FROM t WHERE source NOT IN (SELECT source FROM d WHERE source IS NOT NULL)) AS n_idle_targets
+"""
+
+
 def _restored(spark: SparkSession, d: str) -> DataFrame:
     return restore_text(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -223,6 +239,6 @@ QUERIES = {
     "p3_sample": p3_sample, "p4_found": p4_found, "p4_collapsed": p4_collapsed, "p5_found": p5_found, "p5_assignment": p5_assignment, "p5_report": p5_report, "p5_check": p5_check,
     "p6_found": p6_found, "p6_top": p6_top,
     "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids,
-    "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p10_restored": p10_restored,
+    "p9_mix": p9_mix, "p9_report": p9_report, "p9_check": p9_check, "p10_found": p10_found, "p10_restored": p10_restored,
 }
-ORACLES = {"p3_sample": _feistel_sql(), "p4_found": P4_FOUND_SQL, "p4_collapsed": P4_COLLAPSED_SQL, "p5_found": P5_FOUND_SQL, "p5_check": P5_CHECK_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL, "p7_found": _P7, "p7_report": P7_REPORT_SQL}
+ORACLES = {"p3_sample": _feistel_sql(), "p4_found": P4_FOUND_SQL, "p4_collapsed": P4_COLLAPSED_SQL, "p5_found": P5_FOUND_SQL, "p5_check": P5_CHECK_SQL, "p6_found": P6_FOUND_SQL, "p6_top": P6_TOP_SQL, "p7_found": _P7, "p7_report": P7_REPORT_SQL, "p9_check": P9_CHECK_SQL}

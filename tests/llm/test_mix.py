@@ -61,3 +61,19 @@ def test_flow_spreads_before_it_repeats():
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", "x", 10)], DOCS).withColumns({"pattern": F.lit(1), "uses": F.lit(2), "before": F.lit(3)})
     assert Mix(docs, "doc_id", spark.createDataFrame([("a", 1.0, 1)], GOALS)).selection.count() == 1
+
+
+def test_more_patterns_than_the_flow_takes(spark):
+    rnd = random.Random(6)
+    names = [f"s{k}" for k in range(7)]
+    rows = [(10 * k + j, s, f"text {k}", 10) for k in range(900) for j, s in enumerate(rnd.sample(names, rnd.randrange(1, 5)))]
+    goals = spark.createDataFrame([(s, 1 / 7, 2) for s in names], GOALS)
+    m = Mix(spark.createDataFrame(rows, DOCS), "doc_id", goals, most=20)
+    report = {r["source"]: r["actual_share"] for r in m.report.collect()}
+    assert all(abs(report[s] - 1 / 7) < 0.01 for s in names)
+    text = {r[0]: r[2] for r in rows}
+    uses = {}
+    for r in m.selection.collect():
+        uses[text[r["doc_id"]]] = uses.get(text[r["doc_id"]], 0) + r["uses"]
+    assert max(uses.values()) <= 2
+    assert abs(sum(uses.values()) - 1800) < 40  # nothing is dropped: every text is used twice
