@@ -132,7 +132,7 @@ def metric_bundle(df: DataFrame, by: Sequence[str], identity: str, score: str, l
     j = _nullsafe(base, r.drop("k"), by, "left")
     small = F.col("n") < F.lit(min_group)
     prevalence = F.col("positives") / F.col("n")
-    note = F.when(small, "group too small").when(F.col("positives") == 0, "no positives in cohort").when(F.col("positives") == F.col("n"), "single class in cohort")
+    note = F.when(small, "group too small").when(F.col("positives") == 0, "nothing to rank").when(F.col("positives") == F.col("n"), "only positives")
     keep = lambda c: F.round(F.when(~small, c), 6)
     return j.select(
         *by, "n", "positives", F.round(prevalence, 6).alias("prevalence"), keep(F.col("ap")).alias("ap"), keep(F.col("auc")).alias("auc"),

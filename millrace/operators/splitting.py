@@ -11,6 +11,9 @@ from millrace.functions.keys import digest_uniform, salted_digest
 from millrace.operators.dedup import components
 from millrace.operators.prefix import running_sum
 
+#: Reason codes of the temporal split, as consumers know them.
+CROSSES, LATE, DUPLICATE = "crosses_split", "label_late", "duplicate_patch"
+
 
 def nested_fraction(identity: Column, salt: str, fraction: float) -> Column:
     """Whether a record falls in the fraction: smaller fractions are contained
@@ -76,7 +79,7 @@ def temporal_split(df: DataFrame, identity: str, time: str, label_time: str, pat
     rows = rows.withColumn("__fine", ~F.col("crosses") & ~late).withColumn("__late", late)
     first = rows.filter("__fine").groupBy("component", patch).agg(F.min(F.struct(time, identity))[identity].alias("__first")).withColumnsRenamed({"component": "__c", patch: "__p"})
     rows = rows.join(first, (F.col("component") == F.col("__c")) & (F.col(patch) == F.col("__p")), "left")
-    reason = F.when(F.col("crosses"), "crosses_split").when(F.col("__late"), "label_late").when(F.col(patch).isNotNull() & (F.col("__first") != F.col(identity)), "duplicate_patch")
+    reason = F.when(F.col("crosses"), CROSSES).when(F.col("__late"), LATE).when(F.col(patch).isNotNull() & (F.col("__first") != F.col(identity)), DUPLICATE)
     return rows.select(identity, "role", reason.alias("reason"))
 
 

@@ -131,7 +131,7 @@ ORACLES = {
         SELECT variant_id, project, n, positives, round(positives / n::DOUBLE, 6) AS prevalence, round(CASE WHEN n >= 30 THEN ap END, 6) AS ap, round(CASE WHEN n >= 30 THEN auc END, 6) AS auc,
         round(CASE WHEN n >= 30 THEN recall END, 6) AS recall, round(CASE WHEN n >= 30 THEN precision END, 6) AS precision, CASE WHEN n >= 30 THEN tied END AS tied,
         round(CASE WHEN n >= 30 THEN ap / nullif(positives / n::DOUBLE, 0) END, 6) AS lift,
-        CASE WHEN n < 30 THEN 'group too small' WHEN positives = 0 THEN 'no positives in cohort' WHEN positives = n THEN 'single class in cohort' END AS note
+        CASE WHEN n < 30 THEN 'group too small' WHEN positives = 0 THEN 'nothing to rank' WHEN positives = n THEN 'only positives' END AS note
         FROM m LEFT JOIN r USING (variant_id, project)""",
     "rank_correlation": f"""WITH {SCORED}, y AS (SELECT x.*, la FROM x JOIN features f ON lower(trim(f.change_id)) = x.change_id WHERE la IS NOT NULL AND NOT isnan(la)),
         k AS (SELECT variant_id, rank() OVER (PARTITION BY variant_id ORDER BY score) + (count(*) OVER (PARTITION BY variant_id, score) - 1) / 2.0::DOUBLE AS a,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.keys import id_key, salted_digest
 from millrace.functions.numbers import is_finite
+from millrace.functions.text import binary_label
 from millrace.operators.splitting import first_per
 from millrace.plans.metrics import labels
 from millrace.plans.tables import table
@@ -63,7 +64,7 @@ def first_sheet(spark: SparkSession, d: str) -> DataFrame:
 def label_states(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the sheets as they count: 1, 0, unlabelled or undecided."""
     x = F.lower(F.btrim(F.coalesce("label", F.lit(""))))
-    state = F.when(x == "", "unlabelled").when(x.isin("1", "true", "1.0"), "1").when(x.isin("0", "false", "0.0"), "0").otherwise("undecided")
+    state = F.when(x == "", "unlabelled").otherwise(F.coalesce(binary_label(F.col("label")).cast("string"), F.lit("undecided")))
     return table(spark, d, "label_sheet").groupBy("sheet_no", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 

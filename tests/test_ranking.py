@@ -82,8 +82,8 @@ def test_thresholds(spark):
 def test_bundle_notes(spark):
     rows = frame(spark, [0] * 10, range(10), "none").union(frame(spark, [1] * 10, range(10), "all")).union(frame(spark, [1, 0], [1, 2], "few"))
     got = {r["g"]: r for r in R.metric_bundle(rows, ["g"], "id", "s", "y", "x", 0.1, 5).collect()}
-    assert got["none"]["note"] == "no positives in cohort" and got["none"]["ap"] is None
-    assert got["all"]["note"] == "single class in cohort" and (got["all"]["ap"], got["all"]["auc"]) == (1.0, None)
+    assert got["none"]["note"] == "nothing to rank" and got["none"]["ap"] is None
+    assert got["all"]["note"] == "only positives" and (got["all"]["ap"], got["all"]["auc"]) == (1.0, None)
     assert got["few"]["note"] == "group too small" and got["few"]["ap"] is None
 
 
