@@ -2,6 +2,6 @@
 
 
 def modules():
-    from millrace.plans import duplicates, evaluation, metrics, quality, records, selection
+    from millrace.plans import diffs, duplicates, evaluation, metrics, quality, records, selection
 
-    return [quality, metrics, duplicates, evaluation, selection, records]
+    return [quality, metrics, duplicates, evaluation, selection, records, diffs]
