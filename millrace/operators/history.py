@@ -20,7 +20,7 @@ from millrace.durable import cut
 from millrace.operators.prefix import SLICE_ROWS, running_before, sequence_slice
 
 
-def history_features(commits: DataFrame, files: DataFrame, slice_rows: int = SLICE_ROWS, block: int = 1000) -> DataFrame:
+def history_features(commits: DataFrame, files: DataFrame, slice_rows: int = SLICE_ROWS, block: int = 1000, few: int = 1000) -> DataFrame:
     """(commit, ns, nd, nf, la, ld, entropy, lt, ndev, age, nuc, exp, rexp, sexp).
 
     commits: commit, seq, dev, at (seconds); files: commit, file, subsystem,
@@ -37,10 +37,11 @@ def history_features(commits: DataFrame, files: DataFrame, slice_rows: int = SLI
     """
     f = files.groupBy("commit", "file").agg(F.max("subsystem").alias("subsystem"), F.max("dir").alias("dir"), F.sum(F.coalesce("added", F.lit(0))).cast("double").alias("a"), F.sum(F.coalesce("deleted", F.lit(0))).cast("double").alias("d"))
     own_slice = sequence_slice(commits, "seq", slice_rows)
-    rows = cut(f.join(commits.select("commit", "seq", "dev", "at", own_slice.alias("slice")), "commit"))
+    part = None if own_slice is None else "slice"
+    rows = cut(f.join(commits.select("commit", "seq", "dev", "at", F.lit(0).alias("slice") if own_slice is None else own_slice.alias("slice")), "commit"))
     first = rows.groupBy("file", "dev").agg(F.min("seq").alias("seq")).withColumn("new", F.lit(True))
     rows = rows.join(first, ["file", "dev", "seq"], "left")
-    rows = cut(running_before(rows, ["file"], "seq", "slice", {"loc": F.col("a") - F.col("d"), "uses": F.lit(1), "devs": F.when(F.col("new"), 1).otherwise(0)}, {"last_at": F.col("at")}))
+    rows = cut(running_before(rows, ["file"], "seq", part, {"loc": F.col("a") - F.col("d"), "uses": F.lit(1), "devs": F.when(F.col("new"), 1).otherwise(0)}, {"last_at": F.col("at")}))
     churn = F.col("a") + F.col("d")
     total, logs = F.sum(churn), F.sum(F.when(churn > 0, churn * F.log2(churn)))
     own = rows.groupBy("commit").agg(
@@ -48,27 +49,31 @@ def history_features(commits: DataFrame, files: DataFrame, slice_rows: int = SLI
         F.coalesce(F.log2(F.nullif(total, F.lit(0.0))) - logs / total, F.lit(0.0)).alias("entropy"), F.avg("loc").alias("lt"), (F.sum(F.coalesce((F.col("at") - F.col("last_at")) / 86400.0, F.lit(0.0))) / F.count(F.lit(1))).alias("age"), F.sum("uses").alias("nuc"),
     )
     counted = rows.select("commit", "seq", "dev", "at", "slice").distinct()
-    dev = running_before(counted, ["dev"], "seq", "slice", {"exp": F.lit(1)})
+    dev = running_before(counted, ["dev"], "seq", part, {"exp": F.lit(1)})
     subs = rows.select("commit", "seq", "dev", "subsystem", "slice").distinct()
-    sexp = running_before(subs, ["dev", "subsystem"], "seq", "slice", {"n": F.lit(1)}).groupBy("commit").agg(F.sum("n").alias("sexp"))
+    sexp = running_before(subs, ["dev", "subsystem"], "seq", part, {"n": F.lit(1)}).groupBy("commit").agg(F.sum("n").alias("sexp"))
     dev = cut(dev.select("commit", "seq", "dev", "at", "exp"))
-    out = own.join(_earlier_authors(rows, first), "commit").join(dev.select("commit", "exp"), "commit").join(_recent(dev, block), "commit").join(sexp, "commit")
+    out = own.join(_earlier_authors(rows, first, few), "commit").join(dev.select("commit", "exp"), "commit").join(_recent(dev, block), "commit").join(sexp, "commit")
     return out.select("commit", "ns", "nd", "nf", "la", "ld", "entropy", "lt", "ndev", "age", "nuc", "exp", "rexp", "sexp")
 
 
-def _earlier_authors(rows: DataFrame, first: DataFrame) -> DataFrame:
+def _earlier_authors(rows: DataFrame, first: DataFrame, few: int) -> DataFrame:
     """(commit, ndev): the earlier authors of a commit's files.
 
-    Those of the file with most of them are only counted, as the running number
-    of first touches; those of its other files are looked up there, and count if
+    Where no file has more than few, all are listed and counted.  Otherwise those
+    of the file with most of them are only counted, as the running number of
+    first touches; those of the other files are looked up there, and count if
     they aren't among them.
     """
     anchor = rows.groupBy("commit").agg(F.max(F.struct("devs", "file")).alias("m"), F.count(F.lit(1)).alias("k")).select("commit", F.col("m.devs").alias("devs"), F.col("m.file").alias("anchor"), "k")
-    others = rows.join(anchor.filter("k > 1").select("commit", "anchor"), "commit").filter((F.col("file") != F.col("anchor")) & (F.col("devs") > 0)).select("commit", "seq", "file", "anchor")
-    theirs = others.join(first.select("file", F.col("dev").alias("by"), F.col("seq").alias("since")), "file").filter("since < seq").select("commit", "seq", "anchor", "by").distinct()
+    by_file = first.select("file", F.col("dev").alias("by"), F.col("seq").alias("since"))
+    listed = rows.join(anchor.filter((F.col("k") > 1) & (F.col("devs") <= few)).select("commit"), "commit").select("commit", "seq", "file")
+    listed = listed.join(by_file, "file").filter("since < seq").groupBy("commit").agg(F.countDistinct("by").alias("all"))
+    others = rows.join(anchor.filter((F.col("k") > 1) & (F.col("devs") > few)).select("commit", "anchor"), "commit").filter((F.col("file") != F.col("anchor")) & (F.col("devs") > 0)).select("commit", "seq", "file", "anchor")
+    theirs = others.join(by_file, "file").filter("since < seq").select("commit", "seq", "anchor", "by").distinct()
     there = first.select(F.col("file").alias("anchor"), F.col("dev").alias("by"), F.col("seq").alias("since"))
     more = theirs.join(there, ["anchor", "by"], "left").filter("since is null or since >= seq").groupBy("commit").agg(F.count(F.lit(1)).alias("more"))
-    return anchor.join(more, "commit", "left").select("commit", (F.col("devs") + F.coalesce("more", F.lit(0))).cast("bigint").alias("ndev"))
+    return anchor.join(more, "commit", "left").join(listed, "commit", "left").select("commit", F.coalesce("all", F.col("devs") + F.coalesce("more", F.lit(0))).cast("bigint").alias("ndev"))
 
 
 def _recent(dev: DataFrame, block: int) -> DataFrame:

@@ -44,27 +44,32 @@ def running_sum(df: DataFrame, by: Sequence[str], digest: Column, value: Column,
 SLICE_ROWS, MOST_SLICES = 1_000_000, 256
 
 
-def sequence_slice(df: DataFrame, seq: str, rows: int = SLICE_ROWS) -> Column:
+def sequence_slice(df: DataFrame, seq: str, rows: int = SLICE_ROWS) -> Column | None:
     """The slice of a row, 0 upwards in the order of seq, where all rows of df are
     cut into slices of about so many rows: no group has more than that in one.
-    Store the rows with their slice before running_before is applied."""
+    Store the rows with their slice before running_before is applied.  None if
+    one slice holds them all."""
     n = min(MOST_SLICES, df.count() // rows + 1)
     if n == 1:
-        return F.lit(0)
+        return None
     cuts = df.agg(F.percentile_approx(seq, [k / n for k in range(1, n)], 10 * n)).first()[0] or []
     return reduce(Column.__add__, [(F.col(seq) > F.lit(c)).cast("int") for c in sorted(set(cuts))], F.lit(0))
 
 
-def running_before(df: DataFrame, by: Sequence[str], seq: str, slice_column: str, sums: dict[str, Column], last: dict[str, Column] | None = None) -> DataFrame:
+def running_before(df: DataFrame, by: Sequence[str], seq: str, slice_column: str | None, sums: dict[str, Column], last: dict[str, Column] | None = None) -> DataFrame:
     """df with, for each name of sums, the sum over the earlier rows of the same
     group (0 for none), and for each of last, the value of the row just before
     (null for none).
 
     Earlier is by seq, unique in a group.  Windows run inside a slice of a
-    group; sums per group and slice carry over.
+    group; sums per group and slice carry over.  Without a slice column every
+    group is one slice.
     """
     last = last or {}
     keys = list(by)
+    if slice_column is None:
+        whole = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(n) for n, c in sums.items()], *[F.last(F.struct(c.alias("v"))).over(whole)["v"].alias(n) for n, c in last.items()])
     inner = Window.partitionBy(*keys, slice_column).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
     per = df.groupBy(*keys, slice_column).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()], *[F.max_by(F.struct(c.alias("v")), F.col(seq)).alias(f"__l_{n}") for n, c in last.items()])

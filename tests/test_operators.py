@@ -100,7 +100,7 @@ def test_history_of_a_busy_file_and_author(spark):
             files.append((f"c{k}", f, f[0], f[:2], rnd.randrange(9), rnd.randrange(5)))
     a = spark.createDataFrame(commits, "commit string, seq long, dev string, at long")
     b = spark.createDataFrame(files, "commit string, file string, subsystem string, dir string, added long, deleted long")
-    got = {r["commit"]: r for r in history_features(a, b, slice_rows=60, block=7).collect()}
+    got = {r["commit"]: r for r in history_features(a, b, slice_rows=60, block=7, few=10).collect()}
     assert len(got) == 300
     state = {}
     for c, k, dev, at in commits:
