@@ -1,9 +1,11 @@
+import hashlib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import ngrams as N
 from millrace.functions import text as T
 from millrace.operators import contracts as C
 from millrace.operators import dedup as D
@@ -252,6 +254,72 @@ def test_retrieval(spark):
     assert set(norms) == {"a", "b"} and all(math.isclose(v, 1.0) for v in norms.values())
 
 
+def test_ngrams_of_lots():
+    """Counts of many texts at once are those of each, in any alphabet."""
+    r = random.Random(4)
+    vast = "".join(map(chr, range(0x4E00, 0x4E00 + 6400)))
+    texts = ["".join(r.choice(a) for _ in range(r.randrange(60))) for a in ("ab \n", "xyz\0\t  ", "\xe9€\U0001f600a", vast) for _ in range(40)] + [None, "", "ab", "abc", vast, vast + "abc"]
+    want = [N.char_ngrams(t or "") for t in texts]
+    having, times = {}, {}
+    for terms, h, n in N.count_ngrams(texts, 3, 5):
+        for t, x, y in zip(terms.to_pylist(), h.tolist(), n.tolist(), strict=True):
+            having[t], times[t] = having.get(t, 0) + x, times.get(t, 0) + y
+    assert having == {t: sum(t in w for w in want) for t in having} and times == dict(sum(want, N.Counter()))
+    known = sorted(having)[::3]
+    at = 0
+    for sizes, places, counts in N.Vocabulary(known, 3, 5).counts(texts):
+        ends = sizes.cumsum()
+        for e, n in zip(ends, sizes, strict=True):
+            assert {known[p]: c for p, c in zip(places[e - n : e], counts[e - n : e], strict=True)} == {t: c for t, c in want[at].items() if t in set(known)}
+            at += 1
+    assert at == len(texts)
+
+
+def test_text_neighbours(spark, monkeypatch):
+    """Brute force in the place of lots, common and rare terms and blocks of queries; nulls, copies and ties."""
+    r = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "zeta"]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randrange(1, 5))), r.choice("xyz")) for k in range(150)] + [(150, None, "x"), (151, "", "y"), (152, "alpha beta", None), (153, "qq", "z")]
+    df = spark.createDataFrame(rows, "id long, t string, y string")
+    texts = {k: N.char_ngrams(t or "") for k, t, _ in rows}
+    df_of = N.Counter(g for c in texts.values() for g in c)
+    idf = {g: math.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df_of.items() if n >= 2}
+    vectors = {}
+    for k, c in texts.items():
+        w = {g: n * idf[g] for g, n in c.items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vectors[k] = {g: x / norm for g, x in w.items()}
+    want = set()
+    for q, qt, _ in rows:
+        if q % 5 == 0:
+            for y in "xyz":
+                near = [(-(round(sum(x * vectors[i].get(g, 0) for g, x in vectors[q].items()), 6) + 0.0), hashlib.sha256(f"s:{i}".encode()).hexdigest(), i) for i, t, c in rows if c == y and i != q and (t is None or t != qt)]
+                want |= {(q, y, i, -s + 0.0, k + 1) for k, (s, _, i) in enumerate(sorted(near)[:3])}
+    for common, most in ((0.06, 6144), (0.4, 20), (2, 0)):
+        for name, value in (("COMMON", common), ("COMMON_MOST", most), ("ASKED", 8)):
+            monkeypatch.setattr(Q, name, value)
+        got = Q.text_neighbours(F.col("id") % 5 == 0, df, "id", "t", "y", 3, "s").collect()
+        assert {tuple(x) for x in got} == want
+
+
+def test_vocabulary_is_chosen_on_the_executors(spark):
+    """Tasks don't each send the driver as many terms as are kept."""
+    rows = spark.range(4000).select("id", F.sha2((F.col("id") % 2000).cast("string"), 512).alias("t")).repartition(4)
+    conf, limit = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(limit, "1g")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf.set(limit, "400k")
+    try:
+        weights = Q.tfidf(rows, "id", "t", max_features=5000)
+    finally:
+        conf.set(limit, before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = N.Counter()
+    for k in range(2000):
+        counts.update(N.char_ngrams(hashlib.sha512(str(k).encode()).hexdigest()))
+    assert {r["term"] for r in weights.select("term").distinct().collect()} == {*sorted(counts, key=lambda t: (-counts[t], t))[:5000]}
+
+
 def test_contracts(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "id string, v int")
     b = spark.createDataFrame([("x", 5), ("y", 6)], "id string, w int")
